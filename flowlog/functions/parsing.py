@@ -15,8 +15,11 @@ _DMY = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})"
 _CLOCK = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)"
 
 
-def nullify_missing(col: Column) -> Column:
-    return F.when(~col.isin(MISSING_TEXTS), col)
+_MISSING = ", ".join(f"'{text}'" for text in MISSING_TEXTS)
+
+
+def nullify_missing(column: str) -> Column:
+    return F.expr(f"CASE WHEN {column} NOT IN ({_MISSING}) THEN {column} END")
 
 
 def tolerant_long(col: Column) -> Column:

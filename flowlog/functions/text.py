@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,14 +54,14 @@ def matches_all(terms: Sequence[str], columns: Sequence[str], joined: Column) ->
     space, so a substring hit there cannot span two fields; only a term with
     wildcards has to be tried field by field.
     """
-
-    def one(term: str) -> Column:
+    # long terms match least often, so they are tested first
+    plain = sorted((t for t in terms if not _has_wildcard(t)), key=len, reverse=True)
+    tests = [F.contains(joined, F.lower(F.lit(t))) for t in plain]
+    for term in terms:
         if _has_wildcard(term):
             hits = [F.coalesce(contains_text(F.col(c), term), F.lit(False)) for c in columns]
-            return reduce(lambda a, b: a | b, hits)
-        return F.contains(joined, F.lower(F.lit(term)))
-
-    return reduce(lambda a, b: a & b, [one(t) for t in terms])
+            tests.append(reduce(or_, hits))
+    return reduce(and_, tests)
 
 
 def record_message() -> Column:

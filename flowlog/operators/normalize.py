@@ -38,14 +38,20 @@ def normalize_csv(
 
 
 def _fields(layout: Layout, month_first: bool) -> DataFrame:
-    found = {field: _first_filled(layout, names) for field, names in ALIASES.items()}
+    nothing = F.lit(None).cast("string")
+    cells = {field: _cells(layout, names) for field, names in ALIASES.items()}
     parts = layout.rows.select(
         "source_file",
         "_path",
         "_block",
         "_pos",
-        *[value.alias(field) for field, (value, _) in found.items()],
-        found["bytes"][1].alias("bytes_source"),
+        *[
+            F.coalesce(*[value for _, value in found], nothing).alias(field)
+            for field, found in cells.items()
+        ],
+        F.coalesce(
+            *[F.when(value.isNotNull(), F.lit(name)) for name, value in cells["bytes"]], nothing
+        ).alias("bytes_source"),
     )
     typed = parts.select(
         "source_file",
@@ -66,16 +72,11 @@ def _fields(layout: Layout, month_first: bool) -> DataFrame:
     return typed.withColumn("message", record_message())
 
 
-def _first_filled(layout: Layout, names: list[str]) -> tuple[Column, Column]:
-    """First non-missing cell among the columns called ``names``, and its name."""
-    values, labels = [], []
-    for name in names:
-        for i in _positions(layout.header, name):
-            value = nullify_missing(F.col(f"c{i}"))
-            values.append(value)
-            labels.append(F.when(value.isNotNull(), F.lit(name)))
-    nothing = F.lit(None).cast("string")
-    return F.coalesce(*values, nothing), F.coalesce(*labels, nothing)
+def _cells(layout: Layout, names: list[str]) -> list[tuple[str, Column]]:
+    """The cells called ``names`` in order of preference, null when missing."""
+    return [
+        (name, nullify_missing(f"c{i}")) for name in names for i in _positions(layout.header, name)
+    ]
 
 
 def _positions(header: tuple[str, ...], name: str) -> list[int]:

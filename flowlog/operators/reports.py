@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +14,8 @@ from ..functions import python_strip, risk_class
 from ..schema import AUTO_QUESTION, HISTORY_COLUMNS, HISTORY_LIMIT, REPORT_SCHEMA
 from .knn import knn_search
 
-_FENCE = "```"
+_FENCE = r"(?U)^[\s\x1c-\x1f]*```"
+_FENCED = rf"(?s){_FENCE}(?:json)?[\s\x1c-\x1f]*(.*?)[\s\x1c-\x1f]*(?:```.*)?$"
 
 
 def evidence_payload(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -76,11 +79,8 @@ def parse_reports(raw: DataFrame, column: str = "raw") -> DataFrame:
     A code fence around the JSON is dropped. ``partial`` means a field had the
     wrong type and is null; on ``error`` the text is kept in ``raw``.
     """
-    text = python_strip(F.col(column))
-    inner = F.get(F.split(text, _FENCE), F.lit(1))
-    bare = F.when(inner.startswith("json"), F.substr(inner, F.lit(5))).otherwise(inner)
-    body = F.when(text.startswith(_FENCE), python_strip(bare)).otherwise(text)
-
+    text = F.col(column)
+    body = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCED, 1)).otherwise(python_strip(text))
     corrupt = "_corrupt"
     schema = T.StructType([*REPORT_SCHEMA.fields, T.StructField(corrupt, T.StringType())])
     options = {
@@ -88,22 +88,24 @@ def parse_reports(raw: DataFrame, column: str = "raw") -> DataFrame:
         "columnNameOfCorruptRecord": corrupt,
         "allowSingleQuotes": "false",
     }
-    parsed = raw.withColumn("_body", body).withColumn(
-        "_r", F.from_json("_body", schema, options)
-    )
     names = REPORT_SCHEMA.fieldNames()
-    some = F.coalesce(*[F.col(f"_r.{n}").cast("string") for n in names[:2]]).isNotNull()
-    for n in names[2:]:
-        some = some | F.col(f"_r.{n}").isNotNull()
-    broken = F.col("_r").isNull() | F.col(f"_r.{corrupt}").isNotNull()
-    status = F.when(~broken, "ok").when(some, "partial").otherwise("error")
-    kept = [c for c in raw.columns if c != column]
-    return parsed.select(
-        *kept,
-        *[F.col(f"_r.{n}").alias(n) for n in names],
-        status.alias("status"),
-        F.when(status == "error", F.col("_body")).alias("raw"),
+
+    def judged(body: Column, report: Column) -> Column:
+        some = reduce(or_, [report[n].isNotNull() for n in names])
+        broken = report.isNull() | report[corrupt].isNotNull()
+        status = F.when(~broken, "ok").when(some, "partial").otherwise("error")
+        kept = F.when(broken & ~F.coalesce(some, F.lit(False)), body)
+        fields = [report[n].alias(n) for n in names]
+        return F.struct(*fields, status.alias("status"), kept.alias("raw"))
+
+    # The text is bound to a lambda variable and parsed once per row; as plain
+    # columns every field and every later filter would repeat the parsing.
+    bodies = F.transform(
+        F.array(body), lambda b: F.struct(b.alias("body"), F.from_json(b, schema, options).alias("report"))
     )
+    parsed = F.transform(bodies, lambda x: judged(x["body"], x["report"]))
+    others = [c for c in raw.columns if c != column]
+    return raw.select(*others, parsed[0].alias("_report")).select(*others, "_report.*")
 
 
 def history_rows(reports: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.catalog import upsert_files
 from ..operators.vectors import vector_records
 from ..session import scratch_path
-from ..sources.events import logs_from_events
 
 _HALF = "timestamp_ntz'2024-01-16 00:00:00'"
 
@@ -52,10 +51,9 @@ _RAW_REPORT = """
   END"""
 
 
-def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_vectors(logs: DataFrame, sf_dir: str) -> DataFrame:
     """``id, embedding, document, metadata`` of every record with an embedding."""
-    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    logs = logs_from_events(spark, sf_dir)
+    embeddings = logs.sparkSession.read.parquet(f"{sf_dir}/embeddings.parquet")
     records = vector_records(logs.withColumn("row_index", F.col("id")))
     records = records.withColumn(
         "_id", F.substring_index("id", ":", -1).cast("bigint")

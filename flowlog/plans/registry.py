@@ -35,9 +35,26 @@ RECORD = [
 ]
 
 
+# folders of stored log tables by data folder, see use_stored_logs
+_stored: dict[str, str] = {}
+
+
+def use_stored_logs(spark: SparkSession, sf_dir: str) -> None:
+    """Store the logs of ``sf_dir`` once and let later queries read that table."""
+    path = scratch_path(spark, "stored-logs")
+    replace_source(logs_from_events(spark, sf_dir), path)
+    _stored[sf_dir] = path
+
+
+def logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if sf_dir in _stored:
+        return read_table(spark, _stored[sf_dir])
+    return logs_from_events(spark, sf_dir)
+
+
 def _over_logs(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = operator(logs_from_events(spark, sf_dir))
+        out = operator(logs_of(spark, sf_dir))
         return out.select(*columns) if columns else out
 
     return run
@@ -56,7 +73,7 @@ def _joined(column: str) -> Column:
 
 def _read_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per header line and how many of them have a source address."""
-    folder = derived.write_csv_folder(logs_from_events(spark, sf_dir))
+    folder = derived.write_csv_folder(logs_of(spark, sf_dir))
     parts = []
     for layout in read_log_csv(spark, folder, recursive=True):
         address = next(
@@ -76,7 +93,7 @@ def _read_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalize_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = derived.write_csv_folder(logs_from_events(spark, sf_dir))
+    folder = derived.write_csv_folder(logs_of(spark, sf_dir))
     records = normalize_csv(read_log_csv(spark, folder, recursive=True))
     # file names are chosen by the writer, so they and the ids are left out
     kept = [c for c in RECORD if c not in ("id", "source_file", "timestamp")]
@@ -236,31 +253,31 @@ def _hits(found: DataFrame) -> DataFrame:
 
 
 def _knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = derived.stored_vectors(spark, sf_dir)
+    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
     return _hits(knn.knn_search(stored, derived.vector_queries(spark, sf_dir)))
 
 
 def _knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search through the path for query tables of any size."""
-    stored = derived.stored_vectors(spark, sf_dir)
+    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
     return _hits(knn.knn_search(stored, derived.vector_queries(spark, sf_dir), max_queries=0))
 
 
 def _knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = derived.stored_vectors(spark, sf_dir)
+    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
     return _hits(knn.knn_lsh(stored, derived.vector_queries(spark, sf_dir), n_pivots=64))
 
 
 def _compare_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = logs_from_events(spark, sf_dir)
-    stored = derived.stored_vectors(spark, sf_dir)
+    logs = logs_of(spark, sf_dir)
+    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
     queries = derived.paired_queries(stored)
     keyword = keywords.keyword_search_batch(logs, queries, 5)
     return compare.compare_search(queries, keyword, knn.knn_search(stored, queries))
 
 
 def _evidence_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = derived.stored_vectors(spark, sf_dir)
+    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
     queries = derived.paired_queries(stored)
     payload = reports.evidence_payload(knn.knn_search(stored, queries), queries)
     return payload.select(
@@ -275,7 +292,7 @@ def _evidence_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _auto_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence per source file; its question has the vector of the file's first record."""
-    stored = derived.stored_vectors(spark, sf_dir)
+    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
     files = stored.groupBy(F.col("metadata.source").alias("filename")).agg(
         F.count_if(F.col("metadata.action") == "PSH").alias("rows"),
         F.min_by("embedding", "id").alias("embedding"),

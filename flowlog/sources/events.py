@@ -22,9 +22,7 @@ _FIELDS = [
     """cast(CASE WHEN event_id % 89 = 0 THEN NULL
                  WHEN event_id % 3 = 0 THEN 1000 + k
                  WHEN user_id % 4 = 0 THEN 443
-                 ELSE CASE k % 8 WHEN 0 THEN 22 WHEN 1 THEN 23 WHEN 2 THEN 80
-                                 WHEN 3 THEN 443 WHEN 4 THEN 3306 WHEN 5 THEN 3389
-                                 WHEN 6 THEN 8080 ELSE 53 END
+                 ELSE element_at(array(22, 23, 80, 443, 3306, 3389, 8080, 53), k % 8 + 1)
             END AS int) AS dst_port""",
     """CASE event_id % 5 WHEN 0 THEN 'TCP' WHEN 1 THEN 'UDP' WHEN 2 THEN 'ICMP'
                          WHEN 3 THEN 'HOPOPT' ELSE 'UNKNOWN' END AS protocol""",
