@@ -15,9 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-ROOT = Path(__file__).resolve().parent
-sys.path.insert(0, str(ROOT))
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH")]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
     "ip_risk",

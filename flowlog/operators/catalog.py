@@ -27,8 +27,8 @@ def upsert_files(stored: DataFrame, new: DataFrame) -> DataFrame:
 def mark_indexed(files: DataFrame, stored_sources: DataFrame) -> DataFrame:
     """Set ``indexed`` for files whose records are stored; never clears it.
 
-    ``stored_sources`` has ``source_file``: the partition values of the log
-    table or the log table itself.
+    ``stored_sources`` has ``source_file``; the function of that name in
+    ``sources.tables`` lists them without reading records.
     """
     names = stored_sources.select(F.col("source_file").alias("filename")).distinct()
     hits = names.withColumn("_stored", F.lit(True))

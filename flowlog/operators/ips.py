@@ -121,7 +121,7 @@ def ip_risk(logs: DataFrame, ip: str | None = None, top_n: int | None = TOP_N) -
     (``None``: at all of them). ``many_syn_ports`` needs a SYN record and three
     listed ports.
     """
-    # One scan feeds both sides through the same (address, port) exchange.
+    # An address has at most one row per port from here on, however many records.
     pairs = (
         _sources(logs, ip)
         .groupBy(F.col("src_ip").alias("ip"), "dst_port")
@@ -131,29 +131,23 @@ def ip_risk(logs: DataFrame, ip: str | None = None, top_n: int | None = TOP_N) -
             F.max(F.col("action") == "SYN").alias("syn"),
         )
     )
-    flags = pairs.groupBy("ip").agg(F.max("psh").alias("has_psh"), F.max("syn").alias("has_syn"))
-
-    listed = pairs.where(F.col("dst_port").isNotNull())
+    port = F.col("dst_port")
+    listed = port.isNotNull()
     if top_n is not None:
-        order = Window.partitionBy("ip").orderBy(F.desc("count"), "dst_port")
-        listed = listed.withColumn("rank", F.row_number().over(order)).where(
-            F.col("rank") <= top_n
+        order = Window.partitionBy("ip").orderBy(port.isNull(), F.desc("count"), port)
+        pairs = pairs.withColumn("rank", F.row_number().over(order))
+        listed = listed & (F.col("rank") <= top_n)
+    risk = (
+        pairs.groupBy("ip")
+        .agg(
+            F.coalesce(F.max("psh"), F.lit(False)).alias("has_psh"),
+            F.coalesce(F.max(listed & (port == 22)), F.lit(False)).alias("targets_ssh"),
+            F.coalesce(F.max(listed & (port == 3389)), F.lit(False)).alias("targets_rdp"),
+            F.coalesce(F.max("syn"), F.lit(False)).alias("has_syn"),
+            F.count_if(listed).alias("n_ports"),
         )
-    ports = listed.groupBy("ip").agg(
-        F.max(F.col("dst_port") == 22).alias("ssh"),
-        F.max(F.col("dst_port") == 3389).alias("rdp"),
-        F.count("*").alias("n_ports"),
-    )
-
-    def flag(name: str):
-        return F.coalesce(F.col(name), F.lit(False))
-
-    risk = flags.join(ports, "ip", "left").select(
-        "ip",
-        flag("has_psh").alias("has_psh"),
-        flag("ssh").alias("targets_ssh"),
-        flag("rdp").alias("targets_rdp"),
-        (flag("has_syn") & (F.coalesce("n_ports", F.lit(0)) >= 3)).alias("many_syn_ports"),
+        .withColumn("many_syn_ports", F.col("has_syn") & (F.col("n_ports") >= 3))
+        .drop("has_syn", "n_ports")
     )
     clean = ~(
         F.col("has_psh") | F.col("targets_ssh") | F.col("targets_rdp") | F.col("many_syn_ports")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PREVIEW_ROWS, SAMPLE_ROWS
@@ -19,7 +19,7 @@ def upload_preview(rows: DataFrame, order: str = "row_index", n: int = PREVIEW_R
     first = Window.partitionBy("source_file").orderBy(order)
     head = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n)
     # collects n rows per file
-    row = F.struct("_r", F.struct(*shown).alias("row"))
+    row = F.struct("_r", F.struct(*[_named(c) for c in shown]).alias("row"))
     previews = head.groupBy("source_file").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     return counts.join(previews, "source_file").select(
         "source_file",
@@ -29,6 +29,11 @@ def upload_preview(rows: DataFrame, order: str = "row_index", n: int = PREVIEW_R
     )
 
 
+def _named(column: str) -> Column:
+    """A column whose name may hold dots, as CSV headers do."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def sample_cap(
     records: DataFrame, max_rows: int = SAMPLE_ROWS, key: str = "id", seed: int = 42
 ) -> DataFrame:

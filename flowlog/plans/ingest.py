@@ -66,7 +66,7 @@ def register_upload(files: DataFrame, counted: DataFrame, at: str, stored: DataF
     """The file table after an upload.
 
     ``counted`` has ``source_file, rows`` (see ``upload_preview``), ``at`` is
-    the upload time, ``stored`` the log table.
+    the upload time, ``stored`` the sources with stored records.
     """
     new = counted.select(
         F.col("source_file").alias("filename"),

@@ -20,7 +20,7 @@ LOG_SCHEMA = T.StructType(
         T.StructField("bytes_source", T.StringType()),
         T.StructField("action", T.StringType(), False),
         T.StructField("message", T.StringType(), False),
-        T.StructField("tags", T.ArrayType(T.StringType()), False),
+        T.StructField("tags", T.ArrayType(T.StringType(), False), False),
     ]
 )
 

@@ -45,6 +45,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return table.withColumn("source_file", F.col("source_file").cast("string"))
 
 
+def stored_sources(spark: SparkSession, path: str) -> DataFrame:
+    """``source_file`` of every stored source, from the list of table files alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.col("source_file").cast("string")).distinct()
+
+
 def append_history(reports: DataFrame, path: str) -> None:
     """Add one row per answered query to the history table."""
     history_rows(reports).write.mode("append").parquet(path)
