@@ -26,6 +26,7 @@ def watch_uploads(
     """
     arriving = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", CSV_GLOB)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
