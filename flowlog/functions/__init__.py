@@ -23,6 +23,7 @@ from .text import (
     python_strip,
     record_message,
     search_terms,
+    term_found,
 )
 
 __all__ = [
@@ -43,5 +44,6 @@ __all__ = [
     "row_severity",
     "search_terms",
     "similarity_pct",
+    "term_found",
     "tolerant_long",
 ]

@@ -47,21 +47,24 @@ def haystack(columns: Sequence[str]) -> Column:
     return F.lower(F.concat_ws(_FIELD_BREAK, *columns))
 
 
-def matches_all(terms: Sequence[str], columns: Sequence[str], joined: Column) -> Column:
-    """Every term occurs in at least one of ``columns``.
+def term_found(term: str, columns: Sequence[str], joined: Column) -> Column:
+    """``term`` occurs in at least one of ``columns``.
 
     ``joined`` is :func:`haystack` of the same columns. A term holds no white
     space, so a substring hit there cannot span two fields; only a term with
     wildcards has to be tried field by field.
     """
+    if _has_wildcard(term):
+        hits = [F.coalesce(contains_text(F.col(c), term), F.lit(False)) for c in columns]
+        return reduce(or_, hits)
+    return F.contains(joined, F.lower(F.lit(term)))
+
+
+def matches_all(terms: Sequence[str], columns: Sequence[str]) -> Column:
+    """Every term occurs in at least one of ``columns``."""
     # long terms match least often, so they are tested first
-    plain = sorted((t for t in terms if not _has_wildcard(t)), key=len, reverse=True)
-    tests = [F.contains(joined, F.lower(F.lit(t))) for t in plain]
-    for term in terms:
-        if _has_wildcard(term):
-            hits = [F.coalesce(contains_text(F.col(c), term), F.lit(False)) for c in columns]
-            tests.append(reduce(or_, hits))
-    return reduce(and_, tests)
+    by_length = sorted(terms, key=len, reverse=True)
+    return reduce(and_, [term_found(t, columns, haystack(columns)) for t in by_length])
 
 
 def record_message() -> Column:

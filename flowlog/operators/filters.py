@@ -8,7 +8,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import contains_text, haystack, matches_all, search_terms
+from ..functions import contains_text, matches_all, search_terms
 from ..schema import FILTER_LIMIT, SEARCH_COLUMNS, SEARCH_K
 
 
@@ -64,4 +64,4 @@ def keyword_search(
     terms = search_terms(query)
     if not terms:
         return logs.where(F.lit(False))
-    return _newest(logs.where(matches_all(terms, columns, haystack(columns))), limit)
+    return _newest(logs.where(matches_all(terms, columns)), limit)

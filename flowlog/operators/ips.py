@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import percent_of, port_service, readable_bytes
 from ..schema import IP_RECORDS_LIMIT, TOP_N
+from .ranking import first_per_key
 
 
 def _sources(logs: DataFrame, ip: str | None) -> DataFrame:
@@ -73,18 +74,14 @@ def ip_actions(logs: DataFrame, ip: str | None = None) -> DataFrame:
     )
 
 
-def _top_per_ip(logs: DataFrame, ip: str | None, column: str, n: int | None) -> DataFrame:
+def _top_per_ip(logs: DataFrame, ip: str | None, column: str, n: int) -> DataFrame:
     counts = (
         _sources(logs, ip)
         .where(F.col(column).isNotNull())
         .groupBy(F.col("src_ip").alias("ip"), column)
         .agg(F.count("*").alias("count"))
     )
-    if n is None:
-        return counts
-    # row_number() <= n makes Spark keep n rows per address before the shuffle
-    order = Window.partitionBy("ip").orderBy(F.desc("count"), column)
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    top = first_per_key(counts, ["ip"], [F.desc("count"), column], n, column)
     largest = F.max("count").over(Window.partitionBy("ip"))
     return top.withColumn("pct", percent_of(F.col("count"), largest))
 
@@ -110,8 +107,7 @@ def ip_records(logs: DataFrame, ip: str | None = None, n: int = IP_RECORDS_LIMIT
     """
     ends = F.array_distinct(F.array_compact(F.array("src_ip", "dst_ip")))
     rows = _only(_touching(logs, ip).withColumn("ip", F.explode(ends)), ip)
-    newest = Window.partitionBy("ip").orderBy(F.desc("event_ts"), F.desc("id"))
-    return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
+    return first_per_key(rows, ["ip"], [F.desc("event_ts"), F.desc("id")], n, "id")
 
 
 def ip_risk(logs: DataFrame, ip: str | None = None, top_n: int | None = TOP_N) -> DataFrame:

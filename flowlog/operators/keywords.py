@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from itertools import islice
+from operator import and_
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions import haystack, matches_all, search_terms
+from ..functions import haystack, search_terms, term_found
 from ..schema import SEARCH_COLUMNS
 from ..session import scratch_path
+from .ranking import first_per_key
 
 QUERIES_PER_PASS = 128
 
@@ -44,18 +47,23 @@ def _one_pass(
     logs: DataFrame, queries: DataFrame, rows: Iterable[Row], limit: int, columns: Sequence[str]
 ) -> DataFrame:
     id_type = queries.schema["query_id"].dataType
-    matched = [
-        F.when(matches_all(terms, columns, F.col("_text")), F.lit(row.query_id).cast(id_type))
-        for row in rows
-        if (terms := search_terms(row.query))
-    ]
-    if not matched:
+    wanted = [(row.query_id, terms) for row in rows if (terms := search_terms(row.query))]
+    if not wanted:
         none = logs.where(F.lit(False)).withColumn("query_id", F.lit(None).cast(id_type))
         return none.withColumn("rank", F.lit(1))
+    # each distinct term is looked for once per record, however many queries use it
+    place = {t: i for i, t in enumerate(dict.fromkeys(t for _, terms in wanted for t in terms))}
+    found = F.array(*[term_found(t, columns, F.col("_text")) for t in place])
+
+    def if_matched(query_id, terms: Sequence[str]) -> Column:
+        all_found = reduce(and_, [F.col("_found")[place[t]] for t in dict.fromkeys(terms)])
+        return F.when(all_found, F.lit(query_id).cast(id_type))
+
+    matched = F.array_compact(F.array(*[if_matched(q, terms) for q, terms in wanted]))
     hits = (
         logs.withColumn("_text", haystack(columns))
-        .withColumn("query_id", F.explode(F.array_compact(F.array(*matched))))
-        .drop("_text")
+        .withColumn("_found", found)
+        .withColumn("query_id", F.explode(matched))
+        .drop("_text", "_found")
     )
-    newest = Window.partitionBy("query_id").orderBy(F.desc("event_ts"), F.desc("id"))
-    return hits.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit)
+    return first_per_key(hits, ["query_id"], [F.desc("event_ts"), F.desc("id")], limit, "id")
