@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reports import history_rows
 
+# Characters that partition folder names hold as %XX.
+_ESCAPED = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
+
 
 def replace_source(
     records: DataFrame, path: str, sources: Iterable[str] = (), spread: int | None = None
@@ -27,7 +30,7 @@ def replace_source(
         rows = rows.repartition("source_file", F.pmod(F.xxhash64("id"), F.lit(spread)))
     in_order = ["source_file"] + [c for c in ("event_ts",) if c in records.columns]
     for source in sources:
-        folder = f"{path.rstrip('/')}/source_file={quote(source, safe=' .-_')}"
+        folder = f"{path.rstrip('/')}/source_file={_folder_name(source)}"
         none = records.limit(0).drop("source_file")
         none.write.mode("overwrite").parquet(folder)
     (
@@ -39,6 +42,11 @@ def replace_source(
     )
 
 
+def _folder_name(value: str) -> str:
+    """A partition value as it appears in a folder name."""
+    return re.sub(_ESCAPED, lambda m: f"%{ord(m[0]):02X}", value)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table written by :func:`replace_source`."""
     table = spark.read.parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlog.functions import readable_bytes, risk_class, similarity_pct
 from flowlog.operators import filters, ips, keywords, stats
+from flowlog.operators.preview import sample_cap
 from flowlog.plans.derived import keyword_queries
 from flowlog.sources.events import logs_from_events
 from flowlog.sources.tables import read_table, replace_source
@@ -113,6 +114,23 @@ def test_records_of_a_hot_address(spark):
     assert found.groupBy("ip", "id").count().where("count > 1").count() == 0
 
 
+def test_long_lists_of_a_hot_address(spark):
+    rows = [(i, datetime(2024, 1, 1, 0, i % 60), "hot", f"10.0.{i % 7}.1") for i in range(4000)]
+    logs = spark.createDataFrame(rows, "id long, event_ts timestamp_ntz, src_ip string, dst_ip string")
+    newest = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)[:1500]
+    found = ips.ip_records(logs, "hot", n=1500)
+    assert [r.id for r in found.orderBy("rank").collect()] == [r[0] for r in newest]
+
+
+def test_sample_is_the_lowest_hashes_of_each_file(spark):
+    logs = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 'a', if(id < 100, 'c', 'b')) AS source_file")
+    sample = sample_cap(logs, 5000).withColumn("h", F.xxhash64("id", F.lit(42))).collect()
+    hashed = logs.withColumn("h", F.xxhash64("id", F.lit(42))).collect()
+    for name in "abc":
+        expected = sorted((r.h, r.id) for r in hashed if r.source_file == name)[:5000]
+        assert sorted((r.h, r.id) for r in sample if r.source_file == name) == expected
+
+
 def test_display_columns(spark):
     sizes = {None: "0 B", 0: "0 B", 1: "1 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.3 KB",
              1048575: "1024.0 KB", 1048576: "1.0 MB", 10**10: "9536.7 MB"}

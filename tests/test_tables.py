@@ -40,6 +40,17 @@ def test_replace_touches_only_its_sources_and_is_idempotent(spark, tmp_path):
     assert len(stored(spark, path)) == 3
 
 
+def test_emptied_sources_with_special_names(spark, tmp_path):
+    path = str(tmp_path / "t")
+    names = ["a (é+1) [x].csv", "b&c,d~'e.csv", "p%20q={r}^.csv", "keep.csv"]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, source_file string")
+    replace_source(rows, path)
+    assert sorted(stored(spark, path)) == sorted((n, i) for i, n in enumerate(names))
+    replace_source(rows.where("id = 3"), path, sources=names[:3])
+    assert stored(spark, path) == [("keep.csv", 3)]
+    assert {r.source_file for r in stored_sources(spark, path).collect()} == set(names)
+
+
 def test_source_and_time_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     replace_source(logs_from_events(spark, "/root/testdata/sf0.001"), path)
