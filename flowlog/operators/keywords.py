@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 from itertools import islice
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import haystack, search_terms, term_found
@@ -15,7 +13,7 @@ from ..schema import SEARCH_COLUMNS
 from ..session import scratch_path
 from .ranking import first_per_key
 
-QUERIES_PER_PASS = 128
+QUERIES_PER_PASS = 512
 
 
 def keyword_search_batch(
@@ -54,16 +52,27 @@ def _one_pass(
     # each distinct term is looked for once per record, however many queries use it
     place = {t: i for i, t in enumerate(dict.fromkeys(t for _, terms in wanted for t in terms))}
     found = F.array(*[term_found(t, columns, F.col("_text")) for t in place])
-
-    def if_matched(query_id, terms: Sequence[str]) -> Column:
-        all_found = reduce(and_, [F.col("_found")[place[t]] for t in dict.fromkeys(terms)])
-        return F.when(all_found, F.lit(query_id).cast(id_type))
-
-    matched = F.array_compact(F.array(*[if_matched(q, terms) for q, terms in wanted]))
+    # Queries share a branch by their longest term: a record only enters the
+    # branches of terms it holds. SQL text stands in for thousands of columns.
+    branches: dict[str, list[str]] = {}
+    for n, (_, terms) in enumerate(wanted):
+        longest, *others = sorted(dict.fromkeys(terms), key=len, reverse=True)
+        also = " AND ".join(["true", *[f"_found[{place[t]}]" for t in others]])
+        branches.setdefault(longest, []).append(f"CASE WHEN {also} THEN {n} END")
+    matched = ", ".join(
+        f"CASE WHEN _found[{place[term]}] THEN array_compact(array({', '.join(cases)})) END"
+        for term, cases in branches.items()
+    )
     hits = (
         logs.withColumn("_text", haystack(columns))
         .withColumn("_found", found)
-        .withColumn("query_id", F.explode(matched))
+        .withColumn("_query", F.explode(F.expr(f"flatten(array_compact(array({matched})))")))
         .drop("_text", "_found")
     )
-    return first_per_key(hits, ["query_id"], [F.desc("event_ts"), F.desc("id")], limit, "id")
+    top = first_per_key(hits, ["_query"], [F.desc("event_ts"), F.desc("id")], limit, "id")
+    # at most per_pass rows
+    names = logs.sparkSession.createDataFrame(
+        [(n, query_id) for n, (query_id, _) in enumerate(wanted)],
+        f"_query int, query_id {id_type.simpleString()}",
+    )
+    return top.join(F.broadcast(names), "_query").drop("_query")
