@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contains_text, matches_all, search_terms
-from ..schema import FILTER_LIMIT, SEARCH_COLUMNS, SEARCH_K
+from ..schema import FILTER_LIMIT, SEARCH_COLUMNS
 
 
 def _newest(df: DataFrame, limit: int) -> DataFrame:
