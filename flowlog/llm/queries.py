@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, simhash
 from .sql import MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_mix_sources": op5_mix_sources,
+    "op8_simhash": op8_simhash,
 }
 ORACLE: dict[str, str] = {
     "op5_mix_sources": MIX_SQL,
