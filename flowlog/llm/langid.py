@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .batches import slices
 from .columns import held_out
@@ -162,8 +163,8 @@ def identify(docs: DataFrame, model: LanguageFilter, key: str, text: str, *keep:
             yield rest.append_column("score", pa.array(score, pa.float64()))
 
     rows = docs.select(F.col(key).alias("key"), *keep, F.col(text).cast("string").alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    schema = ", ".join([*fields, "lang_pred string", "score double"])
+    own = [field for field in rows.schema if field.name != "text"]
+    schema = StructType([*own, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.mapInArrow(predict, schema).withColumnRenamed("key", key)
 
 

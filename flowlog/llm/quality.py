@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .batches import slices, texts
 from .columns import held_out
@@ -263,8 +264,7 @@ def score_quality(docs: DataFrame, model: AttentionModel | float, text: str, col
                 values = model.forward(*passage_features(texts(batch, text)))[0]
             yield batch.append_column(column, pa.array(values, pa.float64()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{fields}, `{column}` double")
+    return docs.mapInArrow(score, StructType([*docs.schema, StructField(column, DoubleType())]))
 
 
 def quality_scores(

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialize
 from .batches import slices, texts
@@ -64,8 +65,7 @@ def with_fingerprints(docs: DataFrame, text: str, column: str = "fingerprint", w
             values = np.array([fingerprint(value, words) for value in texts(batch, text)], np.uint64)
             yield batch.append_column(column, pa.array(values.view(np.int64)))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(add, f"{fields}, `{column}` bigint")
+    return docs.mapInArrow(add, StructType([*docs.schema, StructField(column, LongType())]))
 
 
 def block_masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
@@ -182,9 +182,11 @@ def drop_near_duplicates(
     blocks: int = BLOCKS,
 ) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least key, once if it is repeated."""
-    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    own_key, own_text = F.col(key).alias("key"), F.col(text).cast("string").alias("text")
+    marked = docs.select(F.struct("*").alias("row"), own_key, own_text)
     marked = with_fingerprints(marked, "text", "print", words).drop("text")
-    rows = materialize(with_fingerprints(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "text", "print", words).select("key", "print"))
+    rows = with_fingerprints(docs.select(own_key, own_text), "text", "print", words)
+    rows = materialize(rows.select("key", "print"))
     groups = _groups(rows, max_bits, blocks)
     keep = groups.select(F.col("component_id").alias("key2"), F.col("keep_print").alias("print2")).distinct()
     same = (F.col("print") == F.col("print2")) & F.col("key").eqNullSafe(F.col("key2"))
