@@ -34,13 +34,12 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .batches import slices, texts
+from .words import Powers, U, WordHasher, Words, finish
 
 WINDOW = 35
 GRAM = 8
 _SLICE = 2 << 20
-_U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -51,45 +50,12 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = _U(base), _U(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            steps = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
-            for step in steps:
-                step[0] = 1
-            self.up, self.down = (np.multiply.accumulate(step) for step in steps)
-        return self.up[:n], self.down[:n]
-
-
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = h ^ h >> _U(33)
-    h = h * _U(0xFF51AFD7ED558CCD)
-    h = h ^ h >> _U(33)
-    h = h * _U(0xC4CEB9FE1A85EC53)
-    return h ^ h >> _U(33)
-
-
 @dataclass
-class Words:
-    """The words of a slice of texts, one after the other."""
-
-    data: np.ndarray  # bytes
-    begin: np.ndarray  # of each word
-    end: np.ndarray
-    first: np.ndarray  # first word of each text, and the number of all words
-    sums: list[np.ndarray]  # running sums of word hashes times powers, for either base
+class Passages:
+    """Words and their running hash sums."""
 
-    def hashes(self, start: np.ndarray, size: np.ndarray | int, which: int, powers: list[_Powers]) -> np.ndarray:
-        """Hash of the words from ``start`` on."""
-        down = powers[which].upto(len(self.begin) + 1)[1]
-        return _finish((self.sums[which][start + size] - self.sums[which][start]) * down[start])
+    words: Words
+    sums: list[np.ndarray]  # of word hashes times powers, for either base
 
 
 class PassageScanner:
@@ -97,40 +63,29 @@ class PassageScanner:
 
     def __init__(self, window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
-        self.powers = [_Powers(base) for base in _BASES]
-        # a random number per byte and place: the sums of different words are independent
-        self.table = np.random.default_rng(35).integers(0, 2**64, (256, 256), np.uint64)
-
-    def words(self, values: list[bytes]) -> Words:
-        data = np.frombuffer(b"\n" + b"\n".join(values) + b"\n", np.uint8)
-        space = _SPACE[data]
-        begin = np.flatnonzero(~space[1:] & space[:-1]) + 1
-        end = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        starts = np.cumsum([1, *(len(v) + 1 for v in values)])
-        first = np.searchsorted(begin, starts)
-        length = end - begin
-        inside = np.flatnonzero(~space)
-        place = inside - np.repeat(begin, length)
-        mixed = self.table[place & 255, data[inside]]
-        if len(place) and place.max() > 255:
-            mixed = mixed * self.powers[0].upto(int(place.max() >> 8) + 1)[0][place >> 8]
-        hashed = np.zeros(len(begin), np.uint64)
-        if len(begin):
-            hashed = _finish(np.add.reduceat(mixed, np.concatenate(([0], np.cumsum(length)[:-1]))))
-        sums = []
+        self.powers = [Powers(base) for base in _BASES]
+        self.hasher = WordHasher()
+
+    def read(self, values: list[bytes]) -> Passages:
+        words, sums = self.hasher(values), []
         for which, power in enumerate(self.powers):
-            x = hashed if which == 0 else _finish(hashed + _U(1))
-            up = power.upto(len(begin) + 1)[0]
+            x = words.hashes if which == 0 else finish(words.hashes + U(1))
+            up = power.upto(len(x) + 1)[0]
             sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up[: len(x)], dtype=np.uint64))))
-        return Words(data, begin, end, first, sums)
+        return Passages(words, sums)
+
+    def _hashes(self, read: Passages, start: np.ndarray, size: np.ndarray | int, which: int) -> np.ndarray:
+        """Hash of the ``size`` words from ``start`` on."""
+        down = self.powers[which].upto(len(read.words.begin) + 1)[1]
+        return finish((read.sums[which][start + size] - read.sums[which][start]) * down[start])
 
-    def spans(self, words: Words) -> tuple[np.ndarray, ...]:
+    def spans(self, read: Passages) -> tuple[np.ndarray, ...]:
         """Text number, first and last window, anchor hash and span hash of every span."""
-        n, size, gram = len(words.begin), self.window, self.gram
+        n, size, gram = len(read.words.begin), self.window, self.gram
         none = np.zeros(0, np.int64)
         if n < size:
             return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-        grams = words.hashes(np.arange(n - gram + 1), gram, 0, self.powers)
+        grams = self._hashes(read, np.arange(n - gram + 1), gram, 0)
         least, where = grams, np.arange(len(grams))
         reach, width = size - gram + 1, 1
         while width < reach:
@@ -139,7 +94,7 @@ class PassageScanner:
             where = np.where(left <= right, where[: len(where) - step], where[step:])
             least = np.minimum(left, right)
             width += step
-        text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        text = read.words.text
         start = np.arange(n - size + 1)
         start = start[text[start] == text[start + size - 1]]
         if not len(start):
@@ -150,11 +105,11 @@ class PassageScanner:
         edges = np.flatnonzero(new)
         lo, hi = start[edges], start[np.append(edges[1:], len(start)) - 1]
         shape = ((anchor[edges] - lo) * 1024 + (hi - lo)).astype(np.uint64)
-        span = words.hashes(lo, hi - lo + size, 1, self.powers)
-        return owner[edges], lo, hi, grams[anchor[edges]], _finish(span + shape * _U(_BASES[0]))
+        span = self._hashes(read, lo, hi - lo + size, 1)
+        return owner[edges], lo, hi, grams[anchor[edges]], finish(span + shape * U(_BASES[0]))
 
-    def windows(self, words: Words, start: np.ndarray) -> np.ndarray:
-        return words.hashes(start, self.window, 1, self.powers)
+    def windows(self, read: Passages, start: np.ndarray) -> np.ndarray:
+        return self._hashes(read, start, self.window, 1)
 
 
 def _sequence(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +136,10 @@ def _span_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = PassageScanner(window, gram)
         for batch in slices(batches, "text", _SLICE):
-            owner, _, _, anchor, span = scanner.spans(scanner.words(texts(batch, "text")))
-            table, n = np.unique(np.stack([owner.astype(np.uint64), anchor, span]), axis=1, return_counts=True) if len(
-                owner
-            ) else (np.zeros((3, 0), np.uint64), np.zeros(0, np.int64))
+            owner, _, _, anchor, span = scanner.spans(scanner.read(texts(batch, "text")))
+            if not len(owner):
+                continue
+            table, n = np.unique(np.stack([owner.astype(np.uint64), anchor, span]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key").take(pa.array(table[0].astype(np.int64))),
@@ -205,15 +160,15 @@ def _window_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = PassageScanner(window, gram)
         for batch in slices(batches, "text", _SLICE):
-            words = scanner.words(texts(batch, "text"))
-            owner, lo, hi, anchor, span = scanner.spans(words)
+            read = scanner.read(texts(batch, "text"))
+            owner, lo, hi, anchor, span = scanner.spans(read)
             for name, n in (("once", 1), ("often", 2)):
                 chosen = np.flatnonzero(_in_lists(owner, span, batch.column(name)))
                 # one of equal spans of a row is enough
                 _, one = np.unique(np.stack([owner[chosen].astype(np.uint64), span[chosen]]), axis=1, return_index=True)
                 chosen = chosen[one]
                 start, which = _sequence(lo[chosen], hi[chosen])
-                hashed = scanner.windows(words, start)
+                hashed = scanner.windows(read, start)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("key").take(pa.array(owner[chosen][which])),
@@ -266,14 +221,14 @@ def confirmed_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     )
 
 
-def _recurring(scanner: PassageScanner, words: Words, batch: pa.RecordBatch) -> np.ndarray:
+def _recurring(scanner: PassageScanner, read: Passages, batch: pa.RecordBatch) -> np.ndarray:
     """Starts of all confirmed windows of a slice."""
-    owner, lo, hi, _, span = scanner.spans(words)
+    owner, lo, hi, _, span = scanner.spans(read)
     whole = _in_lists(owner, span, batch.column("spans"))
     start, which = _sequence(lo, hi)
     good = whole[which]
     rest = np.flatnonzero(~good)
-    good[rest] = _in_lists(owner[which[rest]], scanner.windows(words, start[rest]), batch.column("windows"))
+    good[rest] = _in_lists(owner[which[rest]], scanner.windows(read, start[rest]), batch.column("windows"))
     return start[good]
 
 
@@ -282,7 +237,7 @@ def locate(words: Words, start: np.ndarray, window: int) -> np.ndarray:
     n, marks = len(words.begin), np.zeros(len(words.begin) + 1, np.int64)
     if not len(start):
         return marks[:n] > 0
-    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    text = words.text
     fresh = np.ones(len(start), bool)
     fresh[1:] = (start[1:] != start[:-1] + 1) | (text[start[1:]] != text[start[:-1]])
     edges = np.flatnonzero(fresh)
@@ -290,7 +245,7 @@ def locate(words: Words, start: np.ndarray, window: int) -> np.ndarray:
     # numbers of the words; 0 stands between texts
     raw = words.data.tobytes()
     numbers: dict[bytes, int] = {}
-    ids = [numbers.setdefault(raw[a:b], len(numbers) + 1) for a, b in zip(words.begin.tolist(), words.end.tolist())]
+    ids = [numbers.setdefault(raw[a:b], len(numbers) + 1) for a, b in zip(words.begin.tolist(), words.end.tolist(), strict=True)]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
         automaton.add_word(tuple(ids[a:b]))
@@ -314,8 +269,9 @@ def remove_passages(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = PassageScanner(window, gram)
         for batch in slices(batches, "text", _SLICE):
-            words = scanner.words(texts(batch, "text"))
-            gone = locate(words, _recurring(scanner, words, batch), window)
+            read = scanner.read(texts(batch, "text"))
+            words = read.words
+            gone = locate(words, _recurring(scanner, read, batch), window)
             raw = words.data.tobytes()
             kept, counts = [], []
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
