@@ -138,34 +138,36 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Texts are shuffled once by key, and their beginnings once to the document before.
     """
-    rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).repartition("key")
-    sizes = docs.select(F.col(key).alias("key"), F.char_length(text_or_empty(text)).alias("n_chars"))
-    links = next_keys(docs, key)
-    need = sizes.groupBy("key").agg(F.max("n_chars").alias("most")).withColumnRenamed("key", "key2")
-    asked = links.join(need, F.col("key").eqNullSafe(F.col("key2"))).select(
-        F.col("key").alias("asking"), "next_key", F.floor(F.col("most") / 2).cast("int").alias("most")
+    # the key in a struct: never null itself, so that plain equality joins null keys too and all joins share one exchange
+    own = F.struct(F.col(key).alias("key")).alias("own")
+    rows = docs.select(own, text_or_empty(text).alias("text")).repartition("own")
+    sizes = docs.select(own, F.char_length(text_or_empty(text)).alias("n_chars"))
+    links = next_keys(docs, key).select(F.struct("key").alias("asking"), F.struct(F.col("next_key").alias("key")).alias("following"))
+    need = sizes.groupBy("own").agg(F.max("n_chars").alias("most"))
+    asked = links.join(need, F.col("asking") == F.col("own")).select(
+        "asking", "following", F.floor(F.col("most") / 2).cast("int").alias("most")
     )
     asked = materialize(asked)
-    first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
-    begins = first.join(asked, F.col("key").eqNullSafe(F.col("next_key"))).select(
-        "asking", "next_key", F.expr("left(least.text, most)").alias("begin")
+    first = rows.groupBy("own").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    begins = first.join(asked, F.col("own") == F.col("following")).select(
+        "asking", "following", F.expr("left(least.text, most)").alias("begin")
     )
-    joined = rows.join(begins, F.col("key").eqNullSafe(F.col("asking")))
+    joined = rows.join(begins, F.col("own") == F.col("asking"))
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.left(F.col("text"), size - half), F.left(F.col("begin"), half))
-    joined = joined.select("key", "next_key", "text", size.cast("bigint").alias("n_chars"), edited.alias("edited"))
+    joined = joined.select("own", "following", "text", size.cast("bigint").alias("n_chars"), edited.alias("edited"))
     marked = add_fingerprint(joined, "text", "print")
     marked = marked.select(
-        "key", "next_key", "n_chars", "print", F.xxhash64("text").alias("h"), "edited",
+        "own", "following", "n_chars", "print", F.xxhash64("text").alias("h"), "edited",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
     )
     marked = materialize(add_fingerprint(marked, "edited", "edited_print").drop("edited"))
-    following = marked.groupBy("key").agg(F.min(F.struct("h", "print")).alias("least"))
-    following = following.select(F.col("key").alias("key2"), F.col("least.print").alias("next_print"))
-    out = marked.join(following, F.col("next_key").eqNullSafe(F.col("key2")))
+    prints = marked.groupBy("own").agg(F.min(F.struct("h", "print")).alias("least"))
+    prints = prints.select(F.col("own").alias("other"), F.col("least.print").alias("next_print"))
+    out = marked.join(prints, F.col("following") == F.col("other"))
     return out.select(
-        F.col("key").alias(key),
+        F.col("own.key").alias(key),
         "n_chars",
         "edited_sha256",
         packed_hex(F.col("print")).alias("fingerprint"),

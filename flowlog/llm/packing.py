@@ -29,15 +29,20 @@ WINDOW = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: Partners of a length that three- and four-part combinations try: the most frequent and evenly spaced ones.
-PARTNERS = 24
-ROUNDS = 400
+PARTNERS = 16
+PARTS, HOT = 8, 4
+ROUNDS = 300
 BUCKET = 100_000
-_CACHE_CHUNKS, _CACHE_CHARS = 400_000, 48
+_CACHE_CHUNKS, _CACHE_CHARS = 600_000, 48
 
-# A text is cut before blanks that follow something else: no pre-token of the vocabulary crosses such a place.
+# A text is cut before a blank or line break that follows something else: no pre-token of the vocabulary crosses such a
+# place. Where blanks meet, and where engines disagree on what is a blank, the text is cut more carefully or not at all.
+_MEETING = re.compile(r"\s[ \n]")
 _CHUNK = re.compile(r"\s*\S+|\s+")
-# Characters that are a blank to one regular expression engine only; texts with them are encoded whole.
 _UNSURE = re.compile("[\x1c-\x1f\x85]")
+# Marks at the end of a chunk are a pre-token of their own after a letter or digit.
+_MARKS = ".,;:!?*$%&#|"
+_BEFORE_MARKS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789äöüßéèêàáíóúñç")
 
 
 class ChunkEncoder:
@@ -54,19 +59,39 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _cut(self, text: str) -> list[str]:
+        """Chunks of the text; the blank before a chunk is left out, other beginnings are marked by a zero."""
+        if _UNSURE.search(text) or "\0" in text:
+            return ["\0" + text]
+        if _MEETING.search(text):
+            return ["\0" + chunk for chunk in _CHUNK.findall(text)]
+        chunks = text.replace("\n", " \n").split(" ")
+        chunks[0] = "\0" + chunks[0]
+        return chunks
+
+    @staticmethod
+    def _whole(chunk: str) -> str:
+        return chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.known) > _CACHE_CHUNKS:
-            self.known.clear()
-        cut = [[text] if _UNSURE.search(text) else _CHUNK.findall(text) for text in texts]
-        fresh = list({chunk for chunks in cut for chunk in chunks if chunk not in self.known})
-        new = dict(zip(fresh, self._encode(fresh), strict=True))
-        lookup = self.known | new if len(new) > len(self.known) else {**new, **self.known}
-        out = [b"".join([lookup[chunk] for chunk in chunks]) for chunks in cut]
-        self.known.update((chunk, ids) for chunk, ids in new.items() if len(chunk) <= _CACHE_CHARS)
+        known = self.known
+        if len(known) > _CACHE_CHUNKS:
+            known.clear()
+        cut = [self._cut(text) for text in texts]
+        fresh = set().union(*cut).difference(known)
+        marked = {}
+        for chunk in fresh:
+            if chunk and chunk[-1] in _MARKS:
+                stem = chunk.rstrip(_MARKS)
+                if stem and stem[-1] in _BEFORE_MARKS:
+                    marked[chunk] = stem, "\0" + chunk[len(stem) :]
+        parts = list(fresh.difference(marked).union(*marked.values()).difference(known))
+        found = self.tokenizer.encode_batch_fast([self._whole(chunk) for chunk in parts], add_special_tokens=False)
+        known.update((chunk, array("I", encoding.ids).tobytes()) for chunk, encoding in zip(parts, found, strict=True))
+        known.update((chunk, known[stem] + known[marks]) for chunk, (stem, marks) in marked.items())
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        for chunk in [chunk for chunk in (*parts, *marked) if len(chunk) > _CACHE_CHARS]:
+            del known[chunk]
         return out
 
 
@@ -75,7 +100,7 @@ def token_pieces(docs: DataFrame, key: str, text: str, window: int = WINDOW, tok
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = ChunkEncoder(tokenizer), array("I", [END_ID]).tobytes()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             which, numbers = [], []
             for i, ids in enumerate(encoder.encode([value or "" for value in batch.column("text").to_pylist()])):
                 ids += end
@@ -98,33 +123,36 @@ def token_pieces(docs: DataFrame, key: str, text: str, window: int = WINDOW, tok
 
 
 def combinations_of(histogram: np.ndarray, window: int = WINDOW, partners: int = PARTNERS) -> np.ndarray:
-    """Rows of up to four lengths, largest first and padded with 0, that sum to ``window`` and occur.
+    """Rows of up to ``PARTS`` lengths, largest first and padded with 0, that sum to ``window`` and occur.
 
-    Pairs are complete. Triples and quadruples take their middle parts from ``partners`` lengths, half of them the most
-    frequent, half evenly spaced over those that occur.
+    Pairs are complete. Three and four parts take the middle ones from ``partners`` lengths, half of them the most frequent,
+    half evenly spaced over those that occur. The most frequent lengths are also repeated, with one or two parts to complete
+    the window.
     """
     present = np.flatnonzero(histogram)
     present = present[present > 0]
     if not len(present):
-        return np.zeros((0, 4), np.int64)
+        return np.zeros((0, PARTS), np.int64)
     often = present[np.argsort(-histogram[present], kind="stable")[: partners // 2]]
     spread = present[np.linspace(0, len(present) - 1, min(len(present), partners // 2)).astype(np.int64)]
     middle = np.unique(np.concatenate([often, spread]))
-    found = [np.stack([present, window - present, 0 * present, 0 * present], axis=1)]
-    for b in middle:
-        found.append(np.stack([present, 0 * present + b, window - present - b, 0 * present], axis=1))
-    for i, b in enumerate(middle):
-        for c in middle[i:]:
-            found.append(np.stack([present, 0 * present + b, 0 * present + c, window - present - b - c], axis=1))
-    rows = np.concatenate(found)
-    # the part that completes the window must occur: it is at index 1, 2 or 3
-    parts = np.cumsum(np.concatenate([[len(x) for x in found]]))
-    last = np.repeat([1, *[2] * len(middle), *[3] * (len(found) - 1 - len(middle))], np.diff([0, *parts]))
-    final = rows[np.arange(len(rows)), last]
-    inside = (final > 0) & (final < window)
-    rows, final = rows[inside], final[inside]
-    rows = rows[histogram[final] > 0]
-    return np.unique(-np.sort(-rows, axis=1), axis=0)
+    fixed = [(), *((b,) for b in middle), *((b, c) for i, b in enumerate(middle) for c in middle[i:])]
+    fixed += [(b,) * n for b in often[:HOT] for n in range(1, PARTS)]
+    found = []
+    for parts in fixed:
+        rest = window - sum(parts)
+        # one free part, or two of which the second completes the window
+        last = [rest - present] if len(parts) + 2 <= PARTS else []
+        if 0 < rest < window and histogram[rest]:
+            found.append([*parts, rest])
+        for completing in last:
+            good = (completing > 0) & (completing < window)
+            good[good] = histogram[completing[good]] > 0
+            found += [[*parts, a, z] for a, z in zip(present[good], completing[good], strict=True)]
+    rows = np.zeros((len(found), PARTS), np.int64)
+    for i, parts in enumerate(found):
+        rows[i, : len(parts)] = sorted(parts, reverse=True)
+    return np.unique(rows, axis=0)
 
 
 def solve_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:

@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+
+from flowlog.llm import mixing, secrets
+from flowlog.llm.queries import ORACLE, QUERIES
+from tests.oracle_check import compare, connect
+
+from .data import awkward, awkward_rows, empty, rows_by_id, words_of
+
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
+)
+
+
+def base_of(text: str | None) -> str:
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_base_spans_match_brute_force(spark):
+    got = rows_by_id(secrets.find_secrets(awkward(spark)))
+    for doc_id, text, *_ in awkward_rows():
+        want = base_of(text)
+        for row in got[doc_id]:
+            assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+            assert (row.n_assign, row.n_access, row.n_hex) == tuple(want.count(k) for k in ("assign", "access", "hex"))
+            assert not want or all(part in row.spans.split(",") for part in want.split(","))
+    assert sum(map(len, got.values())) == len(awkward_rows())
+    assert secrets.find_secrets(empty(spark)).count() == 0
+
+
+def test_loose_candidates_are_decided_by_their_owners(spark):
+    own, shared = "aGVsbG8gd29ybGQ9Xy1Zz12345", "Zm9vYmFyYmF6cXV4MTIzNDU2Nw"
+    rows = [(i, f"x {shared} y", "en", f"s{i}") for i in range(4)] + [(9, f"key {own} end", "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = rows_by_id(secrets.find_secrets(docs))
+    assert got[9][0].spans == f"token:4:{4 + len(own)}" and got[9][0].n_live == 1
+    assert all(got[i][0].spans == "" and got[i][0].n_examples == 1 for i in range(4))
+    redacted = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert redacted[9] == "key [redacted] end" and shared in redacted[0]
+
+
+def test_redaction_leaves_no_secret_and_other_texts_alone(spark):
+    docs = awkward(spark)
+    out = secrets.redact_secrets(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    texts = {r.doc_id: r.text for r in out.collect()}
+    for doc_id, text, *_ in awkward_rows():
+        assert base_of(texts[doc_id]) == ""
+        if not base_of(text):
+            assert texts[doc_id] == text
+    assert secrets.redact_secrets(empty(spark)).count() == 0
+
+
+def test_mix_matches_sql(spark, tmp_path):
+    path = "/root/testdata/sf0.001"
+    assert compare(QUERIES["op5_mix_sources"](spark, path), connect(path), ORACLE["op5_mix_sources"]) is None
+    awkward(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(QUERIES["op5_mix_sources"](spark, str(tmp_path)), con, ORACLE["op5_mix_sources"]) is None
+
+
+def test_mix_reaches_its_targets(spark):
+    got = mixing.mix_sources(awkward(spark)).collect()
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    by_source: dict = {}
+    for r in got:
+        by_source.setdefault((r.source_size, r.target), []).append(r.taken)
+    assert all(abs(sum(taken) - target) <= 3 for (_, target), taken in by_source.items())
+    assert sum(t for _, t in by_source) == pytest.approx(1.5 * sum(s for s, _ in by_source))
+    assert mixing.mix_sources(empty(spark)).count() == 0
+
+
+def test_mixed_documents_repeat_and_cut(spark):
+    docs = awkward(spark)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    taken: dict = {}
+    for r in mixing.mix_sources(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    words: dict = {}
+    texts = {row[0]: row[1] for row in awkward_rows()}
+    for r in out.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(words_of(r.text))
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars in (len(r.text), len(texts[r.doc_id]))
+    assert words == {k: v for k, v in taken.items() if v}
+    assert mixing.mixed_documents(empty(spark)).count() == 0
