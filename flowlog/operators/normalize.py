@@ -29,6 +29,7 @@ def normalize_csv(
     ``id`` is ``<file>:<row>``, so reading a file again gives the same ids.
     ``max_rows`` keeps a random sample per file (off by default).
     """
+    layouts = [layout for layout in layouts if layout.header]
     if not layouts:
         raise ValueError("no CSV files with a header")
     rows = reduce(DataFrame.unionByName, [_fields(lay, month_first) for lay in layouts])

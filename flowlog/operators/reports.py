@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import python_strip, risk_class
 from ..schema import AUTO_QUESTION, HISTORY_COLUMNS, HISTORY_LIMIT, REPORT_SCHEMA
-from .knn import knn_search
+from .knn import knn_search, knn_within
 
 _FENCE = r"(?U)^[\s\x1c-\x1f]*```"
 _FENCED = rf"(?s){_FENCE}(?:json)?[\s\x1c-\x1f]*(.*?)[\s\x1c-\x1f]*(?:```.*)?$"
@@ -63,13 +63,14 @@ def auto_evidence(
     """Evidence for a first report on each stored file.
 
     ``embed`` adds ``embedding`` to a table with a ``query`` column. The whole
-    collection is searched; ``only_file`` keeps hits of the file itself among
-    the retrieved ones.
+    collection is searched; with ``only_file`` each question only looks at the
+    records of its file.
     """
     questions = auto_questions(files, most)
-    hits = knn_search(vectors, embed(questions), most)
     if only_file:
-        hits = hits.where(F.col("metadata.source") == F.col("query_id"))
+        hits = knn_within(vectors, embed(questions), F.col("metadata.source"), most)
+    else:
+        hits = knn_search(vectors, embed(questions), most)
     return evidence_payload(hits, questions)
 
 
@@ -112,12 +113,15 @@ def history_rows(reports: DataFrame) -> DataFrame:
     """Rows of the history table: parsed reports with the query they answer.
 
     ``reports`` has ``queried_at, query, top_k, evidence_count`` next to the
-    parsed columns. Missing lists are stored as empty ones.
+    parsed columns. Missing lists are stored as empty ones. A row keeps its
+    ``id``; without one it gets a stable number from what it says.
     """
     lists = {
         c: F.coalesce(F.to_json(c), F.lit("[]")) for c in ("key_indicators", "recommended_actions")
     }
-    return reports.withColumns(lists).select(*HISTORY_COLUMNS)
+    rows = reports.withColumns(lists)
+    number = F.col("id").cast("bigint") if "id" in reports.columns else F.xxhash64(*HISTORY_COLUMNS)
+    return rows.select(number.alias("id"), *HISTORY_COLUMNS)
 
 
 def query_history(history: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:

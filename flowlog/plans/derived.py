@@ -52,14 +52,15 @@ _RAW_REPORT = """
 
 
 def stored_vectors(logs: DataFrame, sf_dir: str) -> DataFrame:
-    """``id, embedding, document, metadata`` of every record with an embedding."""
+    """``id, embedding, document, metadata`` of every record; the embeddings repeat over the records."""
     embeddings = logs.sparkSession.read.parquet(f"{sf_dir}/embeddings.parquet")
+    shared = embeddings.count()
     records = vector_records(logs.withColumn("row_index", F.col("id")))
     records = records.withColumn(
         "_id", F.substring_index("id", ":", -1).cast("bigint")
     ).drop("id", "source_file")
-    return embeddings.join(records, F.col("vec_id") == F.col("_id")).select(
-        F.col("vec_id").alias("id"), "embedding", "document", "metadata"
+    return records.join(embeddings, F.col("vec_id") == F.col("_id") % shared).select(
+        F.col("_id").alias("id"), "embedding", "document", "metadata"
     )
 
 

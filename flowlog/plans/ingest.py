@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import mark_indexed, upsert_files
 from ..operators.normalize import normalize_csv
+from ..operators.reports import auto_evidence
 from ..operators.vectors import embed_messages, fit_embedder, vector_records
+from ..session import materialize
 from ..sources.csv_files import read_log_csv
-from ..sources.tables import read_table, replace_source
+from ..sources.tables import read_table, replace_source, stored_sources
+
+_FILES = "filename string, uploaded_at timestamp_ntz, rows bigint, indexed boolean"
 
 
 @dataclass(frozen=True)
@@ -29,6 +34,14 @@ class Store:
     def vectors(self) -> str:
         return f"{self.root}/vectors"
 
+    @property
+    def files(self) -> str:
+        return f"{self.root}/files"
+
+    @property
+    def history(self) -> str:
+        return f"{self.root}/history"
+
     @property
     def model(self) -> str:
         return f"{self.root}/embedder"
@@ -41,12 +54,15 @@ def ingest_csv(
     model: PipelineModel | None = None,
     max_rows: int | None = None,
     recursive: bool = False,
+    at: str | None = None,
 ) -> PipelineModel:
     """Normalize, store and embed all CSV files below ``paths``.
 
-    Records of a file that was stored before are replaced. The vectors are
-    built from the stored records, so the files are parsed once. Without a
-    ``model`` one is fitted on the stored log table and saved.
+    Records of a file that was stored before are replaced; a file without rows
+    loses its records. The vectors are built from the stored records of these
+    files only, so the files are parsed once and no other partition is read.
+    Without a ``model`` one is fitted on the stored log table and saved. With
+    the time ``at`` the files are also entered in the stored file table.
     """
     layouts = read_log_csv(spark, paths, recursive)
     empty = [name for layout in layouts for name in layout.empty]
@@ -55,13 +71,35 @@ def ingest_csv(
     if model is None:
         model = fit_embedder(stored, "message")
         model.write().overwrite().save(store.model)
-    names = [(name,) for layout in layouts for name in layout.sources]
-    touched = spark.createDataFrame(names, "source_file string").distinct()
-    new = vector_records(stored.join(touched, "source_file", "left_semi"))
-    replace_source(embed_messages(new, model, "document"), store.vectors, empty)
+    names = sorted({name for layout in layouts for name in layout.sources} - set(empty))
+    touched = stored.where(F.col("source_file").isin(names))
+    replace_source(embed_messages(vector_records(touched), model, "document"), store.vectors, empty)
+    if at is not None:
+        counted = touched.groupBy("source_file").agg(F.count("*").alias("rows"))
+        none = spark.createDataFrame([(name, 0) for name in empty], "source_file string, rows bigint")
+        _enter_files(spark, store, counted.unionByName(none), at, stored_sources(spark, store.logs))
     return model
 
 
+def _enter_files(spark: SparkSession, store: Store, counted: DataFrame, at: str, stored: DataFrame) -> None:
+    """Rewrite the stored file table, a row per file."""
+    try:
+        files = spark.read.schema(_FILES).parquet(store.files)
+        files = materialize(files)
+    except AnalysisException:  # the first upload
+        files = spark.createDataFrame([], _FILES)
+    materialize(register_upload(files, counted, at, stored)).write.mode("overwrite").parquet(store.files)
+
+
+def first_evidence(
+    spark: SparkSession, store: Store, model: PipelineModel, filenames: list[str], most: int = 10
+) -> DataFrame:
+    """Evidence for a first report on some stored files, each from its own records."""
+    files = spark.read.schema(_FILES).parquet(store.files).where(F.col("filename").isin(filenames))
+    vectors = read_table(spark, store.vectors).where(F.col("source_file").isin(filenames))
+    return auto_evidence(files, vectors, lambda asked: embed_messages(asked, model, "query"), most, only_file=True)
+
+
 def register_upload(files: DataFrame, counted: DataFrame, at: str, stored: DataFrame) -> DataFrame:
     """The file table after an upload.
 

@@ -158,9 +158,9 @@ queries AS (SELECT DISTINCT concat(lower(protocol), ' ', action) AS query_id,
 
 _VECTORS = """
 vectors AS (
-  SELECT e.vec_id AS id, cast(e.embedding AS double[]) AS v, l.message AS document, l.source_file,
+  SELECT l.id, e.vec_id, cast(e.embedding AS double[]) AS v, l.message AS document, l.source_file,
          l.action, l.protocol, coalesce(l.src_ip, '') AS src_ip, coalesce(l.bytes, 0) AS bytes
-  FROM embeddings e JOIN logs l ON l.id = e.vec_id
+  FROM logs l JOIN embeddings e ON e.vec_id = l.id % (SELECT count(*) FROM embeddings)
 )"""
 
 
@@ -170,9 +170,10 @@ def _nearest(queries: str, k: int) -> str:
 nearest AS (
   SELECT * FROM (
     SELECT query_id, id, d, cast(row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS int) AS rank
-    FROM (SELECT query_id, id,
-            list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
-          FROM {queries} CROSS JOIN vectors))
+    FROM (SELECT query_id, vec_id,
+            list_sum(list_transform(list_zip(q, cast(embedding AS double[])),
+                                    lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+          FROM {queries} CROSS JOIN embeddings) JOIN vectors USING (vec_id))
   WHERE rank <= {k}
 )"""
 
@@ -391,7 +392,10 @@ ORACLE: dict[str, str] = {
           CASE WHEN semantic_count > keyword_count THEN 'more' WHEN semantic_count < keyword_count
                THEN 'less' ELSE 'same' END AS direction FROM t""",
     ),
-    "embed_messages": "SELECT 256 AS size, cast(1.0 AS double) AS norm, count(*) AS count FROM events",
+    "embed_messages": _logs(
+        """SELECT 256 AS size, cast(1.0 AS double) AS norm, cast(1 AS bigint) AS vectors, count(*) AS count
+        FROM logs GROUP BY message"""
+    ),
     "knn_search": _KNN,
     "knn_search_cells": _KNN,
     "evidence_payload": _with(
@@ -406,11 +410,11 @@ ORACLE: dict[str, str] = {
         per_file AS (SELECT source_file AS query_id, min_by(v, id) AS q,
           least(10, count(*) FILTER (WHERE action = 'PSH')) AS own_k FROM vectors GROUP BY source_file),
         {_nearest('per_file', 10)}""",
-        """SELECT query_id, concat('Analiziraj sigurnosne prijetnje u fajlu ', query_id) AS query,
+        """SELECT per_file.query_id, concat('Analiziraj sigurnosne prijetnje u fajlu ', per_file.query_id) AS query,
         cast(count(id) AS int) AS evidence_count,
         coalesce(string_agg(cast(id AS varchar), '|' ORDER BY rank), '') AS evidence_ids
-        FROM per_file LEFT JOIN nearest n USING (query_id)
-        WHERE rank <= own_k OR (own_k = 0 AND rank = 1) GROUP BY query_id""",
+        FROM per_file LEFT JOIN nearest n ON n.query_id = per_file.query_id AND n.rank <= own_k
+        GROUP BY per_file.query_id""",
     ),
     "parse_reports": _with(
         f"{LOGS}, {RAW_REPORTS}",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import action_class, row_severity
 from ..operators import catalog, compare, filters, ips, keywords, knn, preview, reports, stats, vectors
 from ..operators.normalize import normalize_csv
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.csv_files import read_log_csv
 from ..sources.events import logs_from_events
 from ..sources.tables import append_history, read_table, replace_source
@@ -76,6 +76,8 @@ def _read_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = derived.write_csv_folder(logs_of(spark, sf_dir))
     parts = []
     for layout in read_log_csv(spark, folder, recursive=True):
+        if not layout.header:
+            continue
         address = next(
             c for c, n in zip(layout.cells, layout.header) if n.strip() in ("Source IP", "src_ip", "src")
         )
@@ -230,13 +232,16 @@ def _row_severity(logs: DataFrame) -> DataFrame:
 
 
 def _embed_messages(logs: DataFrame) -> DataFrame:
-    """Vectors per size and length: one row, all of unit length."""
+    """Per message the size and length of its vector, and how many vectors it has: equal messages are embedded alike."""
     messages = logs.select("id", F.col("message").alias("document"))
     embedded = vectors.embed_messages(messages, vectors.fit_embedder(messages))
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return embedded.groupBy(
-        F.size("embedding").alias("size"), F.round(F.sqrt(squares), 3).alias("norm")
-    ).agg(F.count("*").alias("count"))
+    return embedded.groupBy("document").agg(
+        F.max(F.size("embedding")).alias("size"),
+        F.round(F.sqrt(F.max(squares)), 3).alias("norm"),
+        F.count_distinct("embedding").alias("vectors"),
+        F.count("*").alias("count"),
+    ).drop("document")
 
 
 def _hits(found: DataFrame) -> DataFrame:
@@ -270,15 +275,15 @@ def _knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _compare_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = logs_of(spark, sf_dir)
-    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
-    queries = derived.paired_queries(stored)
+    stored = derived.stored_vectors(logs, sf_dir)
+    queries = materialize(derived.paired_queries(stored))
     keyword = keywords.keyword_search_batch(logs, queries, 5)
     return compare.compare_search(queries, keyword, knn.knn_search(stored, queries))
 
 
 def _evidence_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
-    queries = derived.paired_queries(stored)
+    queries = materialize(derived.paired_queries(stored))
     payload = reports.evidence_payload(knn.knn_search(stored, queries), queries)
     return payload.select(
         "query_id",

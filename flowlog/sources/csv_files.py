@@ -6,7 +6,7 @@ import csv
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 CSV_GLOB = "*.[cC][sS][vV]"
 CORRUPT = "_corrupt_record"
-# schemes pyarrow opens with the executors' own credentials
-_DIRECT_SCHEMES = {"", "file", "hdfs", "viewfs", "s3", "gs"}
+# schemes pyarrow opens with the executors' own credentials, and its names for them
+_DIRECT_SCHEMES = {s: s for s in ("", "file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")} | {"s3a": "s3", "s3n": "s3"}
+# a line of these only is blank
+_BLANKS = " \t\v\f\r\n"
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ def read_log_csv(
     spark: SparkSession,
     paths: str | list[str],
     recursive: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
     fail_fast: bool = False,
 ) -> list[Layout]:
     """Scan the ``.csv`` files below ``paths``, one scan per distinct header.
@@ -51,12 +53,18 @@ def read_log_csv(
     One scan over mixed headers would assign cells by the position of the first
     file's names. Rows with too few or too many cells are kept and flagged in
     the corrupt-record column, or fail the job with ``fail_fast``.
-    ``multi_line`` allows line breaks in quotes and makes files unsplittable.
+    Line breaks in quotes are part of a cell, so a file is read by one task.
+    Without ``multi_line`` large files are split; a row that such a line break
+    cuts then fails the job. Files without any line are named in a last layout
+    without columns.
     """
     by_header: dict[str, list[Row]] = {}
+    # a scan skips files of size 0, so those are known from the listing only
+    blank = {_plain(uri) for uri in _listed(spark, paths, recursive).inputFiles()}
     # One row per file: the same list the driver keeps to plan a file scan.
     for row in header_lines(spark, paths, recursive).orderBy("path").toLocalIterator():
         if row.header is not None:
+            blank.discard(_plain(quote(row.path, safe=":/")))
             by_header.setdefault(row.header, []).append(row)
     layouts = []
     for header, files in sorted(by_header.items()):
@@ -65,6 +73,9 @@ def read_log_csv(
         sources = tuple(_source_name(f.path) for f in files)
         empty = tuple(_source_name(f.path) for f in files if not f.filled)
         layouts.append(Layout(names, rows, sources, empty))
+    if blank:
+        none = _scan(spark, (), sorted(blank), multi_line, fail_fast).where(F.lit(False))
+        layouts.append(Layout((), none, (), tuple(_source_name(path) for path in sorted(blank))))
     return layouts
 
 
@@ -72,20 +83,29 @@ def _source_name(path: str) -> str:
     return path.rsplit("/", 1)[-1].replace(" ", "_")
 
 
-def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """``path, header, filled`` of every CSV file.
+def _plain(uri: str) -> str:
+    """A path that does not depend on how its URI is written."""
+    return re.sub(r"^(\w+):/*", r"\1:/", unquote(uri))
 
-    The header is the first line that is not blank, ``filled`` tells whether
-    rows follow. Reads the start of each file only. File systems that pyarrow cannot open
-    are read through Spark's text source instead.
-    """
-    listed = (
+
+def _listed(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", CSV_GLOB)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(paths)
         .select("path")  # the content column is pruned, so nothing is opened here
     )
+
+
+def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """``path, header, filled`` of every CSV file.
+
+    The header is the first line that is not blank, ``filled`` tells whether
+    rows follow. Reads the start of each file only. File systems that pyarrow cannot open
+    are read through Spark's text source instead.
+    """
+    listed = _listed(spark, paths, recursive)
     given = [paths] if isinstance(paths, str) else paths
     if any(urlsplit(p).scheme.lower() not in _DIRECT_SCHEMES for p in given):
         return _header_lines_from_text(spark, paths, recursive)
@@ -111,7 +131,7 @@ def _filled_lines(path: str, n: int) -> list[str]:
     if scheme or "://" not in path:
         system, name = fs.LocalFileSystem(), re.sub("^//+", "/", rest)
     else:
-        system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        system, name = fs.FileSystem.from_uri(quote(direct_uri(path), safe=":/@"))
     found: list[str] = []
     with system.open_input_stream(name) as stream:
         pending = b""
@@ -123,9 +143,15 @@ def _filled_lines(path: str, n: int) -> list[str]:
     return found[:n]
 
 
+def direct_uri(path: str) -> str:
+    """The path under the name that pyarrow has for its file system."""
+    scheme, _, rest = path.partition("://")
+    return f"{_DIRECT_SCHEMES[scheme.lower()]}://{rest}"
+
+
 def _line_text(line: bytes) -> str:
     text = line.decode("utf-8", errors="replace").removeprefix("\ufeff").rstrip("\r")
-    return text if text.strip() else ""
+    return text if text.strip(_BLANKS) else ""
 
 
 def _header_lines_from_text(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
@@ -135,7 +161,7 @@ def _header_lines_from_text(spark: SparkSession, paths: str | list[str], recursi
         F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
         F.regexp_replace("value", "^\ufeff", "").alias("value"),
-    ).where(F.trim("value") != "")
+    ).where(F.btrim("value", F.lit(_BLANKS)) != "")
     return numbered.groupBy("path").agg(
         F.min_by("value", "at").alias("header"), (F.count("*") > 1).alias("filled")
     )
@@ -159,8 +185,15 @@ def _scan(
     )
     # A name arrives URL-encoded, but with a bare plus sign.
     name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    corrupt = F.col(CORRUPT)
+    if not multi_line:
+        # a row with an odd number of quotes is half of one
+        cut = F.raise_error(F.concat(F.lit("line break in quotes, read with multi_line: "), corrupt))
+        halved = F.length(F.regexp_replace(corrupt, '[^"]', "")) % 2 == 1
+        corrupt = F.when(halved, cut.cast("string")).otherwise(corrupt)
     return rows.select(
-        *[c.name for c in schema],
+        *[c.name for c in cells],
+        corrupt.alias(CORRUPT),
         F.replace(name, F.lit(" "), F.lit("_")).alias("source_file"),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -213,7 +246,10 @@ def corrupt_counts(layouts: list[Layout]) -> DataFrame:
             F.count(F.coalesce(*layout.cells)).alias("filled"),
         )
         for layout in layouts
+        if layout.header
     ]
+    if not parts:
+        raise ValueError("no CSV files with a header")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -29,10 +29,6 @@ def replace_source(
     if spread:
         rows = rows.repartition("source_file", F.pmod(F.xxhash64("id"), F.lit(spread)))
     in_order = ["source_file"] + [c for c in ("event_ts",) if c in records.columns]
-    for source in sources:
-        folder = f"{path.rstrip('/')}/source_file={_folder_name(source)}"
-        none = records.limit(0).drop("source_file")
-        none.write.mode("overwrite").parquet(folder)
     (
         rows.sortWithinPartitions(*in_order)
         .write.mode("overwrite")
@@ -40,6 +36,15 @@ def replace_source(
         .partitionBy("source_file")
         .parquet(path)
     )
+    drop_sources(spark, path, sources)
+
+
+def drop_sources(spark: SparkSession, path: str, sources: Iterable[str]) -> None:
+    """Delete the folders of some source files; no job runs."""
+    jvm = spark.sparkContext._jvm
+    for source in sources:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source_file={_folder_name(source)}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _folder_name(value: str) -> str:
@@ -50,6 +55,8 @@ def _folder_name(value: str) -> str:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table written by :func:`replace_source`."""
     table = spark.read.parquet(path)
+    if "source_file" not in table.columns:  # all sources were emptied
+        return table.withColumn("source_file", F.lit(None).cast("string"))
     return table.withColumn("source_file", F.col("source_file").cast("string"))
 
 

@@ -14,6 +14,7 @@ from flowlog.schema import LOG_SCHEMA
 from flowlog.sources.csv_files import (
     _header_lines_from_text,
     corrupt_counts,
+    direct_uri,
     header_lines,
     raw_rows,
     read_log_csv,
@@ -136,7 +137,7 @@ def test_rows_are_numbered_across_splits(spark, tmp_path):
     before = spark.conf.get(setting)
     spark.conf.set(setting, "20000")
     try:
-        layouts = read_log_csv(spark, str(tmp_path))
+        layouts = read_log_csv(spark, str(tmp_path), multi_line=False)
         assert layouts[0].rows.rdd.getNumPartitions() > 5
         wrong = normalize_csv(layouts).where("row_index <> bytes")
         assert normalize_csv(layouts).count() == 20_002
@@ -221,3 +222,33 @@ def test_times(spark):
     assert got == cases
     us = spark.createDataFrame([("5/7/2017 8:55",)], "x string")
     assert us.select(event_time(F.col("x"), month_first=True)).first()[0] == datetime(2017, 5, 7, 8, 55)
+
+
+def test_line_breaks_in_quotes_belong_to_their_cell(spark, tmp_path):
+    text = 'src,len,flag\n1.1.1.1,1,SYN\n2.2.2.2,2,"two\nlines"\n3.3.3.3,3,ACK\n'
+    (tmp_path / "a.csv").write_text(text)
+    rows = normalize_csv(read_log_csv(spark, str(tmp_path))).orderBy("row_index").collect()
+    assert [(r.id, r.src_ip, r.bytes, r.action) for r in rows] == [
+        ("a.csv:0", "1.1.1.1", 1, "SYN"),
+        ("a.csv:1", "2.2.2.2", 2, "two\nlines"),
+        ("a.csv:2", "3.3.3.3", 3, "ACK"),
+    ]
+    with pytest.raises(Exception, match="line break in quotes"):
+        read_log_csv(spark, str(tmp_path), multi_line=False)[0].rows.collect()
+
+
+def test_blank_and_missing_headers(spark, tmp_path):
+    (tmp_path / "tabs.csv").write_text("\t\t\nsrc,dst\n1,2\n")
+    (tmp_path / "nothing.csv").write_text("")
+    direct = {(r.path, r.header) for r in header_lines(spark, str(tmp_path)).collect() if r.header}
+    assert direct == {(r.path, r.header) for r in _header_lines_from_text(spark, str(tmp_path), False).collect()}
+    assert {h for _, h in direct} == {"src,dst"}
+    layouts = read_log_csv(spark, str(tmp_path))
+    assert [name for layout in layouts for name in layout.empty] == ["nothing.csv"]
+    with pytest.raises(ValueError, match="no CSV files"):
+        corrupt_counts([])
+
+
+def test_object_store_names():
+    assert direct_uri("s3a://bucket/x y.csv") == "s3://bucket/x y.csv"
+    assert direct_uri("abfss://c@account/x.csv") == "abfss://c@account/x.csv"

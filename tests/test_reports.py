@@ -84,7 +84,7 @@ def test_auto_evidence_limits_by_rows_of_the_file(spark):
     assert rows["f1.csv"].evidence_ids == [f"v{i}" for i in range(10)]
     assert rows["f0.csv"].query == "Analiziraj sigurnosne prijetnje u fajlu f0.csv"
     own = {r.query_id: r for r in auto_evidence(files, vectors, embed, only_file=True).collect()}
-    assert own["f0.csv"].evidence_ids == ["v0", "v2"]
+    assert own["f0.csv"].evidence_ids == ["v0", "v2", "v4"]
 
 
 def test_history_round_trip(spark, tmp_path):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowlog.operators.vectors import fit_embedder
-from flowlog.plans.ingest import Store, ingest_csv, register_upload
+from flowlog.plans.ingest import Store, first_evidence, ingest_csv, register_upload
 from flowlog.plans.reports import dashboard, ip_detail, retrieve_evidence, semantic_search
-from flowlog.session import materialize, scratch_path, shared_dir
+from flowlog.session import materialize, remove_scratch, scratch_path, shared_dir
 from flowlog.sources.events import logs_from_events
 from flowlog.sources.tables import read_table, replace_source, stored_sources
 from flowlog.streaming.uploads import watch_uploads
@@ -34,7 +35,7 @@ def test_replace_touches_only_its_sources_and_is_idempotent(spark, tmp_path):
         assert stored(spark, path) == [("a b.csv", 9), ("c=%.csv", 3)]
     replace_source(change, path, sources=["c=%.csv"])
     assert stored(spark, path) == [("a b.csv", 9)]
-    assert {r.source_file for r in stored_sources(spark, path).collect()} == {"a b.csv", "c=%.csv"}
+    assert {r.source_file for r in stored_sources(spark, path).collect()} == {"a b.csv"}
     replace_source(rows, path, spread=4)
     assert len(stored(spark, path)) == 3
 
@@ -47,7 +48,7 @@ def test_emptied_sources_with_special_names(spark, tmp_path):
     assert sorted(stored(spark, path)) == sorted((n, i) for i, n in enumerate(names))
     replace_source(rows.where("id = 3"), path, sources=names[:3])
     assert stored(spark, path) == [("keep.csv", 3)]
-    assert {r.source_file for r in stored_sources(spark, path).collect()} == set(names)
+    assert {r.source_file for r in stored_sources(spark, path).collect()} == {"keep.csv"}
 
 
 def test_source_and_time_filters_reach_the_scan(spark, tmp_path):
@@ -73,8 +74,11 @@ def test_ingest_search_and_reingest(spark, tmp_path):
 
     # a file that shrinks leaves nothing behind, an emptied one neither
     (folder / "one.csv").write_text(lines("1.1.1.1", 2))
-    (folder / "two.csv").write_text(lines("2.2.2.2", 0))
-    ingest_csv(spark, str(folder), store, model)
+    (folder / "two.csv").write_text("")
+    ingest_csv(spark, str(folder), store, model, at="2024-05-01 00:00:00")
+    files = {r.filename: (r.rows, r.indexed) for r in spark.read.parquet(store.files).collect()}
+    assert files == {"one.csv": (2, True), "two.csv": (0, False)}
+    assert first_evidence(spark, store, model, ["one.csv"]).first().evidence_ids == ["one.csv:0", "one.csv:1"]
     for path in (store.logs, store.vectors):
         assert [i for _, i in stored(spark, path)] == ["one.csv:0", "one.csv:1"]
 
@@ -145,3 +149,35 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert scratch_path(spark, "x").startswith(folder)
     assert materialize(spark.range(5)).count() == 5
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_scratch_tables_can_be_removed(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    remove_scratch(spark)
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(path)
+
+
+def test_ingest_reads_only_the_partitions_of_its_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    replace_source(logs_from_events(spark, "/root/testdata/sf0.001"), path)
+    touched = read_table(spark, path).where(F.col("source_file").isin(["capture_1.csv"]))
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "capture_1.csv" in plan.split("PartitionFilters: [")[1].split("]")[0]
