@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import islice
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import haystack, search_terms, term_found
 from ..schema import SEARCH_COLUMNS
-from ..session import scratch_path
+from ..session import materialize
 from .ranking import first_per_key
 
-QUERIES_PER_PASS = 512
+COMPILED_QUERIES = 512
+MAX_BROADCAST_QUERIES = 50_000
+_GRAM = 3
 
 
 def keyword_search_batch(
@@ -21,24 +24,69 @@ def keyword_search_batch(
     queries: DataFrame,
     limit: int = 10,
     columns: Sequence[str] = SEARCH_COLUMNS,
-    per_pass: int = QUERIES_PER_PASS,
+    compiled: int = COMPILED_QUERIES,
 ) -> DataFrame:
     """Newest ``limit`` hits per query; ``queries`` has ``query_id, query``.
 
-    The predicates of up to ``per_pass`` queries are compiled into one scan, so
-    records are never paired with queries they do not match. A longer query
-    table is streamed through the driver in pieces of that size, each piece
-    adding its hits to a table in the shared folder.
+    One scan of the records answers all queries. The predicates of up to
+    ``compiled`` queries become part of the plan. A longer query table is joined:
+    each query is filed under one three-character piece of its terms, the piece
+    that the fewest queries have, and a record only meets the queries filed under
+    a piece of its text. Both ways give the same hits.
     """
-    asked = queries.select("query_id", "query")
-    head = asked.limit(per_pass + 1).collect()
-    if len(head) <= per_pass:
+    asked = materialize(queries.select("query_id", "query"))
+    head = asked.limit(compiled + 1).collect()
+    if len(head) <= compiled:
         return _one_pass(logs, queries, head, limit, columns)
-    path = scratch_path(logs.sparkSession, "keyword-hits")
-    rows = asked.toLocalIterator()
-    while piece := list(islice(rows, per_pass)):
-        _one_pass(logs, queries, piece, limit, columns).write.mode("append").parquet(path)
-    return logs.sparkSession.read.parquet(path)
+    return _joined(logs, asked, limit, columns)
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """All pieces of a text that have ``size`` characters; a shorter text is one piece."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.transform(places, lambda i: F.substr(text, i, size))
+
+
+def _joined(logs: DataFrame, asked: DataFrame, limit: int, columns: Sequence[str]) -> DataFrame:
+    terms = F.filter(F.split(F.lower("query"), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
+    wanted = asked.select(F.monotonically_increasing_id().alias("_query"), "query_id", terms.alias("_terms"))
+    wanted = materialize(wanted.where(F.size("_terms") > 0))
+    # wildcards are left out of the pieces; a query of wildcards only is filed under the empty text
+    literal = F.flatten(F.transform("_terms", lambda t: F.split(t, "[%_]+")))
+    longest = F.array_max(F.transform(literal, F.length))
+    size = F.least(longest, F.lit(_GRAM))
+    pieces = F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.filter(literal, lambda t: F.length(t) >= size),
+                lambda t: _pieces(t, size),
+            )
+        )
+    )
+    filed = wanted.select("_query", F.explode(F.when(longest > 0, pieces).otherwise(F.array(F.lit("")))).alias("_piece"))
+    shared = filed.groupBy("_piece").agg(F.count("*").alias("n")).withColumnRenamed("_piece", "_p")
+    filed = filed.join(shared, F.col("_piece") == F.col("_p"))
+    best = filed.groupBy("_query").agg(F.min(F.struct("n", "_piece")).alias("_best"))
+    best = best.select(F.col("_query").alias("_q"), F.col("_best._piece").alias("_piece"))
+    wanted = materialize(wanted.join(best, F.col("_query") == F.col("_q")).drop("_q"))
+    sizes = [row[0] for row in wanted.select(F.length("_piece")).distinct().collect()]  # four at most
+
+    text = F.col("_text")
+    own = [_pieces(text, F.lit(n)) if n else F.array(F.lit("")) for n in sorted(sizes)]
+    found = logs.withColumn("_text", haystack(columns))
+    found = found.withColumn("_own", F.explode(F.array_distinct(F.concat(*own))) if own else F.lit(""))
+    if wanted.count() <= MAX_BROADCAST_QUERIES:
+        wanted = F.broadcast(wanted)
+    met = found.join(wanted, F.col("_own") == F.col("_piece"))
+
+    def holds(term: Column) -> Column:
+        pattern = F.concat(F.lit("%"), F.replace(term, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+        by_field = [F.coalesce(F.call_function("ilike", F.col(c), pattern), F.lit(False)) for c in columns]
+        return F.when(term.rlike("[%_]"), reduce(or_, by_field)).otherwise(F.contains(text, term))
+
+    hits = met.where(F.forall("_terms", holds)).drop("_text", "_own", "_piece", "_terms")
+    top = first_per_key(hits, ["_query"], [F.desc("event_ts"), F.desc("id")], limit, "id")
+    return top.drop("_query")
 
 
 def _one_pass(
@@ -70,7 +118,7 @@ def _one_pass(
         .drop("_text", "_found")
     )
     top = first_per_key(hits, ["_query"], [F.desc("event_ts"), F.desc("id")], limit, "id")
-    # at most per_pass rows
+    # as many rows as queries were compiled
     names = logs.sparkSession.createDataFrame(
         [(n, query_id) for n, (query_id, _) in enumerate(wanted)],
         f"_query int, query_id {id_type.simpleString()}",

@@ -9,6 +9,7 @@ import pytest
 from flowlog.operators.compare import compare_search
 from flowlog.operators.filters import filter_logs, keyword_search
 from flowlog.operators.keywords import keyword_search_batch
+from flowlog.sources.events import logs_from_events
 
 ROWS = [
     (1, "a.csv", datetime(2024, 1, 1, 0), "10.0.0.1", "fe80::A1", "TCP", "SYN", "TCP SYN from 10.0.0.1"),
@@ -87,16 +88,35 @@ def test_keywords(logs, query, expected):
     assert ids(keyword_search(logs, query)) == expected
 
 
-@pytest.mark.parametrize("per_pass", [100, 3])
-def test_batch_equals_single_queries(spark, logs, per_pass):
+@pytest.mark.parametrize("compiled", [100, 3])
+def test_batch_equals_single_queries(spark, logs, compiled):
     queries = spark.createDataFrame(list(enumerate(q for q, _ in KEYWORDS)), "query_id int, query string")
-    hits = keyword_search_batch(logs, queries, limit=2, per_pass=per_pass)
+    hits = keyword_search_batch(logs, queries, limit=2, compiled=compiled)
     got = {}
     for r in sorted(hits.collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {i: e[:2] for i, (_, e) in enumerate(KEYWORDS) if e}
 
 
+def test_many_queries_are_one_scan(spark):
+    logs = logs_from_events(spark, "/root/testdata/sf0.001")
+    queries = spark.range(2000).selectExpr(
+        "id AS query_id",
+        "concat(element_at(array('syn', 'ACK', 't_p', 'u', '%', '1.1'), cast(id % 6 + 1 AS int)), ' 10.0.', id % 7) AS query",
+    )
+    hits = keyword_search_batch(logs, queries, 3)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r.query_id, set()).add((r.rank, r.id))
+    few = keyword_search_batch(logs, queries.where("query_id < 42"), 3)
+    want = {}
+    for r in few.collect():
+        want.setdefault(r.query_id, set()).add((r.rank, r.id))
+    assert want and {k: v for k, v in got.items() if k < 42} == want
+    assert {k % 42 for k in got} == set(want)
+
+
 def test_batch_of_blank_queries(spark, logs):
     blank = spark.createDataFrame([(1, " ")], "query_id int, query string")
     hits = keyword_search_batch(logs, blank)
