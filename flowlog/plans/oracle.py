@@ -398,6 +398,10 @@ ORACLE: dict[str, str] = {
     ),
     "knn_search": _KNN,
     "knn_search_cells": _KNN,
+    "knn_lsh": _logs(
+        """SELECT vec_id AS query_id, cast(5 AS bigint) AS hits, vec_id AS nearest, cast(0 AS double) AS distance,
+        cast(0 AS bigint) AS wrong FROM embeddings"""
+    ),
     "evidence_payload": _with(
         f"{LOGS}, {_VECTORS}, {_PAIRED}, {_nearest('paired', 5)}",
         """SELECT query_id, query_id AS query, cast(count(*) AS int) AS evidence_count,

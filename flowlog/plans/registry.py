@@ -269,8 +269,20 @@ def _knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the approximate search: a stored vector finds its record, and all distances are true."""
     stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
-    return _hits(knn.knn_lsh(stored, derived.vector_queries(spark, sf_dir), n_pivots=64))
+    queries = derived.vector_queries(spark, sf_dir)
+    hits = knn.knn_lsh(stored.select("id", "embedding"), queries)
+    own = queries.select("query_id", F.col("embedding").alias("asked"))
+    both = hits.join(stored.select("id", "embedding"), "id").join(own, "query_id")
+    gap = F.zip_with("embedding", "asked", lambda a, b: a.cast("double") - b.cast("double"))
+    true = F.aggregate(F.transform(gap, lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    return both.groupBy("query_id").agg(
+        F.count("*").alias("hits"),
+        F.min(F.when(F.col("rank") == 1, F.col("id"))).alias("nearest"),
+        F.round(F.min("distance"), 6).alias("distance"),
+        F.count_if(F.abs(F.col("distance") - true) > 1e-9).alias("wrong"),
+    )
 
 
 def _compare_search(spark: SparkSession, sf_dir: str) -> DataFrame:
