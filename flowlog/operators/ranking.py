@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold
-_CUT_BEFORE_SHUFFLE = 1000
-_SLICES = 256
+_SLICES = (256, 16)
 
 
 def first_per_key(
@@ -17,14 +15,17 @@ def first_per_key(
 ) -> DataFrame:
     """The first ``n`` rows of each key with their ``rank``.
 
-    Up to 1,000 rows Spark itself keeps ``n`` rows per key before the shuffle.
-    For more, a key is ranked in slices first, so that no task gets all its
-    rows. ``unique`` is a column that tells the rows of a key apart.
+    Up to a limit that the session sets Spark itself keeps ``n`` rows per key
+    before the shuffle. For more, a key is ranked in ever fewer slices, so that
+    no task gets all its rows; the last gets 16 x ``n`` at most. ``unique`` is a
+    column that tells the rows of a key apart.
     """
     rank = F.row_number()
-    if n > _CUT_BEFORE_SHUFFLE:
-        piece = F.pmod(F.xxhash64(unique), F.lit(_SLICES))
-        inside = Window.partitionBy(*keys, piece).orderBy(*order)
-        df = df.withColumn("rank", rank.over(inside)).where(F.col("rank") <= n)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:
+        for slices in _SLICES:
+            piece = F.pmod(F.xxhash64(unique), F.lit(slices))
+            inside = Window.partitionBy(*keys, piece).orderBy(*order)
+            df = df.withColumn("rank", rank.over(inside)).where(F.col("rank") <= n)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", rank.over(whole)).where(F.col("rank") <= n)
