@@ -80,7 +80,7 @@ def test_bloom_masks_have_every_gram_and_few_others():
     members = rng.integers(0, 70, 4000)
     model = langid.LanguageFilter.build([str(i) for i in range(70)], keys, members)
     found = model.hits(keys)
-    assert all(int(found[i, m // 64]) >> (m % 64) & 1 for i, m in enumerate(members))
+    assert all(int(found[i, m // 64]) >> (m % 64) & 1 for i, m in enumerate(members.tolist()))
     other = model.hits(rng.integers(0, 2**63, 4000).astype(np.uint64))
     assert np.bitwise_count(other).sum() < 400
 
