@@ -59,6 +59,8 @@ def stored_vectors(logs: DataFrame, sf_dir: str) -> DataFrame:
     records = records.withColumn(
         "_id", F.substring_index("id", ":", -1).cast("bigint")
     ).drop("id", "source_file")
+    # a small file is one split, but searching it is work for all cores
+    records = records.repartition(logs.sparkSession.sparkContext.defaultParallelism, "_id")
     return records.join(embeddings, F.col("vec_id") == F.col("_id") % shared).select(
         F.col("_id").alias("id"), "embedding", "document", "metadata"
     )

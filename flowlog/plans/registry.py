@@ -35,8 +35,9 @@ RECORD = [
 ]
 
 
-# folders of stored log tables by data folder, see use_stored_logs
+# folders of stored log tables and CSV uploads by data folder, see use_stored_logs
 _stored: dict[str, str] = {}
+_uploads: dict[str, str] = {}
 
 
 def use_stored_logs(spark: SparkSession, sf_dir: str) -> None:
@@ -46,6 +47,15 @@ def use_stored_logs(spark: SparkSession, sf_dir: str) -> None:
     _stored[sf_dir] = path
 
 
+def write_uploads(spark: SparkSession, sf_dir: str) -> None:
+    """Write the CSV files of ``sf_dir`` once and let later queries read those."""
+    _uploads[sf_dir] = derived.write_csv_folder(logs_of(spark, sf_dir))
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    return _uploads.get(sf_dir) or derived.write_csv_folder(logs_of(spark, sf_dir))
+
+
 def logs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     if sf_dir in _stored:
         return read_table(spark, _stored[sf_dir])
@@ -73,7 +83,7 @@ def _joined(column: str) -> Column:
 
 def _read_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per header line and how many of them have a source address."""
-    folder = derived.write_csv_folder(logs_of(spark, sf_dir))
+    folder = _csv_folder(spark, sf_dir)
     parts = []
     for layout in read_log_csv(spark, folder, recursive=True):
         if not layout.header:
@@ -95,7 +105,7 @@ def _read_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normalize_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = derived.write_csv_folder(logs_of(spark, sf_dir))
+    folder = _csv_folder(spark, sf_dir)
     records = normalize_csv(read_log_csv(spark, folder, recursive=True))
     # file names are chosen by the writer, so they and the ids are left out
     kept = [c for c in RECORD if c not in ("id", "source_file", "timestamp")]
