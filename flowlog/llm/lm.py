@@ -38,7 +38,7 @@ SMOOTHING = 500.0
 SHARD = 100_000
 _END = 1  # the end token's word key
 _CLASS_BITS = 24
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _TALLY = 1 << 20
 
 

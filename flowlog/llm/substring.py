@@ -38,7 +38,7 @@ from .words import Powers, U, WordHasher, Words, finish
 
 WINDOW = 35
 GRAM = 8
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
