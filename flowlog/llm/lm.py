@@ -1,9 +1,10 @@
 """Language-model scores from a bigram trie in Elias-Fano levels.
 
-The model has add-one unigrams and, after words with at least ``CONTEXT_SHARE`` of all tokens, bigrams with Dirichlet
-smoothing: P(w | u) = (c(u, w) + M P(w)) / (c(u) + M). Words outside those contexts share one follower class, within which
-the unigrams decide; after any other word the unigrams decide alone. So the probabilities of all tokens sum to one. All
-counts are exact, over all documents to learn from.
+The model has add-one unigrams and, after every word, bigrams with Dirichlet smoothing:
+P(w | u) = (c(u, w) + M P(w)) / (c(u) + M). With a ``context_share``, words below that share of all tokens share one follower
+class, within which the unigrams decide, and after them the unigrams decide alone; by default there is no such share. So the
+probabilities of all tokens sum to one. All counts are exact, over all documents to learn from; a pair is told from others by
+a hash of 63 bits.
 
 A token's probability is looked up in tries (:mod:`.trie`) whose levels tasks map from a file. Words and bigrams with at
 least ``FREQUENT_SHARE`` of all tokens, 1 / ``FREQUENT_SHARE`` of each at most, are one trie that is sent to all tasks. All
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,16 @@ from ..session import scratch_path
 from .batches import slices, texts
 from .columns import held_out
 from .trie import NgramTrie
-from .words import U, WordHasher
+from .words import U, WordHasher, finish
 
 FOLDS, FOLD = 7, 2
 FREQUENT_SHARE = 1e-6
-CONTEXT_SHARE = 1e-5
+CONTEXT_SHARE = 0.0  # every word is a context, however rare
 SMOOTHING = 500.0
 SHARD = 100_000
 _END = 1  # the end token's word key
-_CLASS_BITS = 24
+_OTHER = 0  # the class of followers outside the contexts
+_LOW_BITS = 39  # of an item; the bits above choose its shard and are a rare word's own in its pairs
 _SLICE = 1 << 20
 _TALLY = 1 << 20
 
@@ -57,85 +60,110 @@ class _Tokens:
         self.sizes = np.diff(words.first) + 1
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
-    def pairs(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of tokens that follow a context, and the pairs of classes as numbers."""
-        kind = _classes(self.keys, contexts)
-        place = np.flatnonzero((kind[:-1] > 0) & (self.doc[:-1] == self.doc[1:])) + 1
-        return place, kind[place - 1] << _CLASS_BITS | kind[place]
+    def pairs(self, contexts: np.ndarray | None, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of tokens that follow a context, the pairs as items and the followers, by key or class.
 
+        A pair with a rare follower has the upper bits of its key, so that both are in one shard; others are dealt freely.
+        """
+        follows, w = self.doc[:-1] == self.doc[1:], self.keys[1:]
+        if contexts is not None:
+            known = _among(self.keys, contexts)
+            follows, w = follows & known[:-1], np.where(known[1:], w, U(_OTHER))
+        place = np.flatnonzero(follows)
+        u, w = self.keys[place], w[place]
+        mixed = finish(finish(w) * U(0x9E3779B97F4A7C15) + u) >> U(1)
+        low = U((1 << _LOW_BITS) - 1)
+        free = _among(w, frequent) | (w == U(_OTHER))
+        return place + 1, (np.where(free, mixed, w) & ~low | mixed & low).astype(np.int64), w
 
-def _classes(keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """1 + the index of each key in the ascending ``contexts``, 0 for other words."""
-    if not len(contexts):
-        return np.zeros(len(keys), np.int64)
-    index = np.minimum(np.searchsorted(contexts, keys), len(contexts) - 1)
-    return np.where(contexts[index] == keys, index + 1, 0)
 
+def _among(keys: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(keys), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, keys), len(ascending) - 1)] == keys
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    different, inverse = np.unique(keys, return_inverse=True)
-    return different, np.bincount(inverse, n, minlength=len(different)).astype(np.int64)
 
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Items once, with what belongs to each and the sum of their numbers, which come last."""
+    items, *others, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    different, first, inverse = np.unique(items, return_index=True, return_inverse=True)
+    return different, *(x[first] for x in others), np.bincount(inverse, n, minlength=len(different)).astype(np.int64)
 
-def _counts(docs: DataFrame, name: str, take: Callable[[_Tokens], np.ndarray]) -> DataFrame:
-    """``item, n`` over all rows; a task sums what fits a bounded tally before it is shuffled."""
+
+def _counts(docs: DataFrame, name: str, take: Callable[[_Tokens], tuple[np.ndarray, ...]], columns: list[str]) -> DataFrame:
+    """``columns, n`` over all rows; a task sums what fits a bounded tally before it is shuffled."""
+    names = [*columns, "n"]
+
+    def out(parts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, keys, n = WordHasher(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out = lambda: pa.RecordBatch.from_pydict({"item": pa.array(keys), "n": pa.array(n)})
+        hasher, parts = WordHasher(), [(np.zeros(0, np.int64),) * len(names)]
         for batch in slices(batches, "text", _SLICE):
-            new, times = np.unique(take(_Tokens(hasher, batch)), return_counts=True)
-            keys, n = _summed(np.concatenate((keys, new.astype(np.int64))), np.concatenate((n, times)))
-            if len(keys) > _TALLY:
-                yield out()
-                keys, n = keys[:0], n[:0]
-        yield out()
+            new = [x.astype(np.int64) for x in take(_Tokens(hasher, batch))]
+            parts.append((*new, np.ones(len(new[0]), np.int64)))
+            if sum(len(part[0]) for part in parts) > _TALLY:
+                parts = [_summed(parts)]
+                if len(parts[0][0]) > _TALLY // 2:
+                    yield out(parts[0])
+                    parts = [tuple(x[:0] for x in parts[0])]
+        yield out(_summed(parts))
 
-    return _stored(docs.mapInArrow(count, "item bigint, n bigint").groupBy("item").agg(F.sum("n").alias("n")), name)
+    counted = docs.mapInArrow(count, ", ".join(f"{n} bigint" for n in names))
+    return _stored(counted.groupBy(*columns).agg(F.sum("n").alias("n")), name)
 
 
 @dataclass
 class Unigrams:
-    """What all tasks know: totals and the context words, at most 1 / ``CONTEXT_SHARE`` of them."""
+    """What all tasks know: totals, the frequent words, and the contexts if a share limits them."""
 
     tokens: int
-    contexts: np.ndarray
-    counts: np.ndarray
     words: int
     smoothing: float
+    frequent: np.ndarray
+    context_count: float
+    contexts: np.ndarray | None
+    other: float  # the share of the follower class of words outside the contexts
 
-    def __post_init__(self) -> None:
-        self.all = self.tokens + self.words + 1
-        share = (self.counts + 1) / self.all
-        # class 0 has what the context words leave
-        self.share = np.concatenate(([max(1 - share.sum(), 1 / self.all)], share))
-        self.backoff = np.concatenate(([0.0], np.log10(self.smoothing / (self.counts + self.smoothing))))
+    def share(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1) / (self.tokens + self.words + 1)
 
     def log_share(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1) / self.all)
-
-    def pair_log(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
-        u, w = pairs >> _CLASS_BITS, pairs & ((1 << _CLASS_BITS) - 1)
-        return np.log10((n + self.smoothing * self.share[w]) / (self.counts[u - 1] + self.smoothing))
-
-    def trie(self, words: np.ndarray, n: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> NgramTrie:
-        """The trie of ascending ``words`` and of ``pairs``; contexts that are not among the words count 0."""
-        u = self.contexts[(pairs >> _CLASS_BITS) - 1] if len(pairs) else np.zeros(0, np.uint64)
-        keys = np.union1d(words.astype(np.uint64), u)
+        return np.log10(self.share(count))
+
+    def backoff(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """What a token that follows a word gets for a pair that is not stored; nothing follows the end token."""
+        context = (count >= self.context_count) & (keys != _END)
+        return np.where(context, np.log10(self.smoothing / (count + self.smoothing)), 0.0)
+
+    def trie(
+        self, words: np.ndarray, n: np.ndarray, pairs: np.ndarray, follower: np.ndarray, times: np.ndarray, sent=None
+    ) -> NgramTrie:
+        """The trie of ascending ``words`` and of ascending ``pairs``, by the upper and lower bits of a pair's item.
+
+        Stored is what a pair adds to unigram and backoff. Followers are among the words or in the trie ``sent``.
+        """
+        upper = (pairs >> _LOW_BITS).astype(np.uint64)
+        keys = np.union1d(words.astype(np.uint64), upper)
         counts = np.zeros(len(keys), np.int64)
         counts[np.searchsorted(keys, words.astype(np.uint64))] = n
-        return NgramTrie.build(keys, counts, u, pairs & ((1 << _CLASS_BITS) - 1), self.pair_log(pairs, times))
+        follower = follower.astype(np.uint64)
+        at = np.minimum(np.searchsorted(keys, follower), max(0, len(keys) - 1))
+        count = np.where(keys[at] == follower, counts[at], 0) if len(keys) else np.zeros(len(pairs), np.int64)
+        if sent is not None:
+            count = np.where(count > 0, count, sent.count(follower))
+        share = np.where(follower == U(_OTHER), self.other, self.share(count))
+        gain = np.log10(1 + times / (self.smoothing * share))
+        return NgramTrie.build(keys, counts, upper, pairs & ((1 << _LOW_BITS) - 1), -gain)
 
     def gains(self, trie: NgramTrie, pairs: np.ndarray) -> np.ndarray:
         """What a stored pair adds to unigram and backoff; NaN for others."""
-        u, w = pairs >> _CLASS_BITS, pairs & ((1 << _CLASS_BITS) - 1)
-        found = trie.log_probability(self.contexts[u - 1] if len(u) else np.zeros(0, np.uint64), w)
-        return found - np.log10(self.share[w]) - self.backoff[u]
+        return -trie.log_probability((pairs >> _LOW_BITS).astype(np.uint64), pairs & ((1 << _LOW_BITS) - 1))
 
 
-def _ascending(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _ascending(df: DataFrame) -> list[np.ndarray]:
     rows = df.toPandas().sort_values("item")
-    return rows["item"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    return [rows[name].to_numpy(np.int64) for name in df.columns]
 
 
 def score_documents(
@@ -154,28 +182,39 @@ def score_documents(
         F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")
     )
     learn = docs.where(~held_out(key, FOLDS, FOLD)).select(F.col(text).cast("string").alias("text"))
-    word_counts = _counts(learn, "words", lambda tokens: tokens.keys)
+    word_counts = _counts(learn, "words", lambda tokens: (tokens.keys,), ["item"])
     total = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rare = lambda share: F.col("n") < F.lit(share * total[0])
     words, n = _ascending(word_counts.where(~rare(frequent_share)))
-    often = n >= context_share * total[0]
-    model = Unigrams(total[0], words[often].astype(np.uint64), n[often], total[1], smoothing)
-
-    contexts = model.contexts
-    pair_counts = _counts(learn, "pairs", lambda tokens: tokens.pairs(contexts)[1])
-    pairs, times = _ascending(pair_counts.where(~rare(frequent_share)))
-    sent = docs.sparkSession.sparkContext.broadcast((model, *model.trie(words, n, pairs, times).packed()))
+    contexts, other = None, 1.0
+    if context_share > 0:
+        contexts, often = _ascending(word_counts.where(~rare(context_share)))
+        contexts, least = contexts.astype(np.uint64), 1 / (total[0] + total[1] + 1)
+        other = max(1 - ((often + 1) * least).sum(), least)
+    frequent = words.astype(np.uint64)
+    model = Unigrams(total[0], total[1], smoothing, frequent, context_share * total[0], contexts, other)
+
+    pair_counts = _counts(learn, "pairs", lambda tokens: tokens.pairs(contexts, frequent)[1:], ["item", "follower"])
+    pairs = _ascending(pair_counts.where(~rare(frequent_share)))
+    sent = docs.sparkSession.sparkContext.broadcast((model, *model.trie(words, n, *pairs).packed()))
 
     scored = _stored(rows.mapInArrow(lambda batches: _score_frequent(batches, sent), _partial_schema(rows)), "scores")
-    entries = word_counts.where(rare(frequent_share)).select("item", "n").unionByName(
-        pair_counts.where(rare(frequent_share)).select((-1 - F.col("item")).alias("item"), "n")
+    entries = word_counts.where(rare(frequent_share)).select("item", F.lit(None).cast("bigint").alias("follower"), "n")
+    entries = entries.unionByName(
+        pair_counts.where(rare(frequent_share)).select((-1 - F.col("item")).alias("item"), "follower", "n")
     )
     shards = max(1, -(-entries.count() // SHARD))
     asked = scored.select("id", F.explode(F.arrays_zip("items", "times")).alias("a"))
-    asked = asked.select(F.col("a.items").alias("item"), "id", F.col("a.times").cast("bigint").alias("n"))
-    shard = F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard")
-    both = entries.select("item", F.lit(-1).cast("bigint").alias("id"), "n").unionByName(asked)
-    both = both.select(shard, "item", "id", "n").repartition("shard").sortWithinPartitions("shard", "id")
+    asked = asked.select(
+        F.col("a.items").alias("item"),
+        F.lit(None).cast("bigint").alias("follower"),
+        "id",
+        F.col("a.times").cast("bigint").alias("n"),
+    )
+    upper = F.shiftright(F.when(F.col("item") < 0, -1 - F.col("item")).otherwise(F.col("item")), _LOW_BITS)
+    shard = F.pmod(F.xxhash64(upper), F.lit(shards)).cast("int").alias("shard")
+    both = entries.select("item", "follower", F.lit(-1).cast("bigint").alias("id"), "n").unionByName(asked)
+    both = both.select(shard, "item", "follower", "id", "n").repartition("shard").sortWithinPartitions("shard", "id")
     answers = both.mapInArrow(
         lambda batches: _answer_shards(batches, sent), "id bigint, known bigint, base double, gain double"
     )
@@ -217,12 +256,13 @@ def _score_frequent(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Reco
         base = sums(tokens.doc, np.where(common, model.log_share(count), 0.0))
         known = sums(tokens.doc, common).astype(np.int64)
 
-        place, pairs = tokens.pairs(model.contexts)
+        place, pairs, _ = tokens.pairs(model.contexts, model.frequent)
         different, inverse = np.unique(pairs, return_inverse=True)
         gain_of = model.gains(trie, different)[inverse]
         stored = ~np.isnan(gain_of)
         doc = tokens.doc[place]
-        gain = sums(doc, model.backoff[pairs >> _CLASS_BITS] + np.where(stored, gain_of, 0.0))
+        gain = sums(doc, np.where(stored, gain_of, 0.0))
+        gain = gain + sums(tokens.doc, np.where(common, model.backoff(tokens.keys, count), 0.0))
 
         item = np.concatenate((tokens.keys[~common].astype(np.int64), -1 - pairs[~stored]))
         owner = np.concatenate((tokens.doc[~common], doc[~stored]))
@@ -248,10 +288,12 @@ def _score_frequent(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Reco
 
 def _answer_shards(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """Sums for each asking text. Of each shard the entries (id -1) come first, then what texts ask of it."""
-    model = sent.value[0]
+    model, layout, data = sent.value
+    frequent = NgramTrie.mapped(layout, data)
     shard, entries, trie = -1, [], None
     for batch in batches:
         at, item, ids, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "item", "id", "n"))
+        follower = pc.fill_null(batch.column("follower"), 0).to_numpy(zero_copy_only=False)
         edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
         answers = []
         for a, b in zip(edges, np.append(edges[1:], len(at)), strict=True):
@@ -259,11 +301,11 @@ def _answer_shards(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Recor
                 shard, entries, trie = at[a], [], None
             own = a + np.searchsorted(ids[a:b], 0)
             if own > a:
-                entries.append((item[a:own].copy(), n[a:own].copy()))
+                entries.append((item[a:own].copy(), follower[a:own].copy(), n[a:own].copy()))
             if own == b:
                 continue
             if trie is None:
-                trie, entries = _shard_trie(model, entries), []
+                trie, entries = _shard_trie(model, frequent, entries), []
             answers.append(_answer(model, trie, item[own:b], ids[own:b], n[own:b]))
         if answers:
             ids, known, base, gain = (np.concatenate(x) for x in zip(*answers, strict=True))
@@ -279,14 +321,14 @@ def _answer_shards(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Recor
             )
 
 
-def _shard_trie(model: Unigrams, entries: list[tuple[np.ndarray, np.ndarray]]) -> NgramTrie:
-    item, n = (np.concatenate(x) for x in zip(*entries, strict=True)) if entries else (np.zeros(0, np.int64),) * 2
-    word = item >= 0
-    parts = []
-    for chosen, value in ((word, item[word]), (~word, -1 - item[~word])):
-        order = np.argsort(value)
-        parts += [value[order], n[chosen][order]]
-    return NgramTrie.mapped(*model.trie(*parts).packed())
+def _shard_trie(model: Unigrams, frequent: NgramTrie, entries: list[tuple[np.ndarray, ...]]) -> NgramTrie:
+    columns = zip(*entries, strict=True) if entries else [(np.zeros(0, np.int64),)] * 3
+    item, follower, n = (np.concatenate(x) for x in columns)
+    order = np.argsort(item)
+    words = order[item[order] >= 0]
+    pairs = order[item[order] < 0][::-1]
+    trie = model.trie(item[words], n[words], -1 - item[pairs], follower[pairs], n[pairs], frequent)
+    return NgramTrie.mapped(*trie.packed())
 
 
 def _answer(model: Unigrams, trie: NgramTrie, item: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple:
@@ -295,5 +337,6 @@ def _answer(model: Unigrams, trie: NgramTrie, item: np.ndarray, ids: np.ndarray,
     known, base, gain = np.zeros(len(different)), np.zeros(len(different)), np.zeros(len(different))
     count = trie.count(different[word].astype(np.uint64))
     known[word], base[word] = count > 0, model.log_share(count)
+    gain[word] = model.backoff(different[word], count)
     gain[~word] = np.nan_to_num(model.gains(trie, -1 - different[~word]))
     return ids, known[inverse] * n, base[inverse] * n, gain[inverse] * n

@@ -147,6 +147,26 @@ def test_language_model_matches_brute_force(spark, shares, monkeypatch):
     assert lm.score_documents(empty(spark)).count() == 0
 
 
+def test_language_model_has_pairs_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 5000)
+    common = " ".join(["the", "of"] * 75_000)
+    texts = [common] * 4 + ["velvet quorum"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(i, [*words_of(t), None]) for i, t in enumerate(texts)]
+    learn = [t for i, t in rows if crc_fold(i, 7) != 2]
+    counts = Counter(w for t in learn for w in t)
+    pairs = Counter(p for t in learn for p in zip(t, t[1:], strict=False))
+    total, words = sum(counts.values()), len(counts)
+    share = lambda w: (counts[w] + 1) / (total + words + 1)
+    assert 0 < counts[b"quorum"] < 1e-5 * total
+    got = rows_by_id(lm.score_documents(docs, frequent_share=1e-4))
+    for doc_id, tokens in rows[4:]:
+        score = math.log10(share(tokens[0]))
+        for a, b in zip(tokens, tokens[1:], strict=False):
+            score += math.log10((pairs[a, b] + lm.SMOOTHING * share(b)) / (counts[a] + lm.SMOOTHING))
+        assert got[doc_id][0].score == pytest.approx(score, abs=QUANTUM / 2 * len(tokens) + 1e-6)
+
+
 def _ascii_lower(text: str | None) -> str:
     return (text or "").encode().lower().decode()
 
