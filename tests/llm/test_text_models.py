@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import math
 from collections import Counter
 
@@ -114,6 +115,31 @@ def test_bands_reject_repetition_and_noise():
     assert not rules.verdict(noise.encode(), compressor)[2]
 
 
+def _noise(rng: np.random.Generator, n: int) -> bytes:
+    """Random letters and digits in words of four to twelve."""
+    symbols = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    return " ".join("".join(rng.choice(symbols, rng.integers(4, 13))) for _ in range(n // 5)).encode()[:n]
+
+
+def test_bands_reject_mixed_and_encoded_text():
+    compressor = zstandard.ZstdCompressor(level=rules.LEVEL)
+    rng = np.random.default_rng(6)
+    passes = lambda text: rules.verdict(text, compressor)[2]
+    lists = [list("etaoinshrdlu"), list("etaoinshrdluéß")]
+    prose = [" ".join("".join(rng.choice(x, rng.integers(2, 9))) for _ in range(12)).encode() for x in lists * 1500]
+    for n in (700, 1500, 3000, 3900, 20_000):
+        assert passes(b"\n".join(prose)[:n])
+        assert not passes(_noise(rng, n))
+        assert not passes(base64.encodebytes(rng.bytes(n))[:n])
+    for n, share in ((60_000, 0.7), (120_000, 0.7), (20_000, 0.5)):
+        lines = [base64.b64encode(rng.bytes(57)) if rng.random() < share else line[:76] for line in prose]
+        assert not passes(b"\n".join(lines)[:n])
+    # one random block in prose
+    for n in (4_000, 20_000, 60_000):
+        random_part = int(0.45 * n)
+        assert not passes(b"\n".join(prose)[: n - random_part] + b"\n" + _noise(rng, random_part))
+
+
 @pytest.mark.parametrize("shares", [(1e-6, 1e-5), (2e-3, 5e-3)])
 def test_language_model_matches_brute_force(spark, shares, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 50)
