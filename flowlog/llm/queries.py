@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, minhash, mixing, packing, quality, rules, secrets, simhash, substring
+from . import langid, lm, minhash, mixing, packing, quality, rules, secrets, simhash, substring, token_files
 from .sql import MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_ids(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
+    "op11_token_ids": op11_token_ids,
 }
 ORACLE: dict[str, str] = {
     "op5_mix_sources": MIX_SQL,
