@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, minhash, mixing, packing, quality, rules, secrets, simhash, substring, token_files
-from .sql import MIX_SQL
+from . import divergence, langid, lm, minhash, mixing, packing, quality, rules, secrets, simhash, substring, token_files
+from .sql import DIVERGENCE_SQL, MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_ids(_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -74,7 +78,9 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
     "op11_token_ids": op11_token_ids,
+    "op12_divergence": op12_divergence,
 }
 ORACLE: dict[str, str] = {
     "op5_mix_sources": MIX_SQL,
+    "op12_divergence": DIVERGENCE_SQL,
 }

@@ -34,3 +34,45 @@ SELECT d.doc_id, d.size, q.source_size, q.target,
 FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source
 JOIN summed s ON d.source IS NOT DISTINCT FROM s.source AND d.h = s.h
 """
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+        regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+uses AS (SELECT lang, source, doc, unnest(terms) AS item FROM docs),
+kept AS (SELECT lang, item FROM uses GROUP BY lang, item HAVING count(DISTINCT doc) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, item, count(*) AS n FROM uses JOIN kept USING (lang, item) GROUP BY lang, source, item),
+sums AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+lang_counts AS (SELECT lang, item, sum(n) AS n FROM counts GROUP BY lang, item),
+lang_sums AS (SELECT lang, sum(n) AS total FROM lang_counts GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+    SELECT g.lang, g.source, k.item, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * z.v) AS p
+    FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes z ON g.lang = z.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.item = k.item
+    LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source),
+lang_cells AS (
+    SELECT c.lang, c.item, 1 + (1000000000::HUGEINT * (c.n + 2)) // (s.total + 2 * z.v) AS q
+    FROM lang_counts c JOIN lang_sums s ON s.lang = c.lang JOIN sizes z ON z.lang = c.lang),
+gaps AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM cells a JOIN cells b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source
+    GROUP BY a.lang, a.source, b.source),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(g.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source),
+overused AS (
+    SELECT c.lang, c.source, 'term' AS part, c.item, (c.p - q.q) * (c.p - q.q) // (c.p + q.q) AS value
+    FROM cells c JOIN lang_cells q ON q.lang = c.lang AND q.item = c.item WHERE c.n > 0 AND c.p > q.q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM overused))
+SELECT lang, source, part, item, value::BIGINT AS value, place::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR place <= 10
+"""
