@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, langid, lm, minhash, mixing, packing, quality, rules, secrets, simhash, substring, token_files
-from .sql import DIVERGENCE_SQL, MIX_SQL
+from . import conversations, divergence, langid, lm, minhash, mixing, packing, quality, rules, secrets, simhash, substring, token_files
+from .sql import DIVERGENCE_SQL, MIX_SQL, REPAIR_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -79,8 +83,10 @@ QUERIES: dict[str, Query] = {
     "op10_minhash": op10_minhash,
     "op11_token_ids": op11_token_ids,
     "op12_divergence": op12_divergence,
+    "op13_conversations": op13_conversations,
 }
 ORACLE: dict[str, str] = {
     "op5_mix_sources": MIX_SQL,
     "op12_divergence": DIVERGENCE_SQL,
+    "op13_conversations": REPAIR_SQL,
 }

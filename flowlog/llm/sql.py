@@ -76,3 +76,92 @@ ranked AS (
 SELECT lang, source, part, item, value::BIGINT AS value, place::INTEGER AS rank
 FROM ranked WHERE part = 'pair' OR place <= 10
 """
+
+REPAIR_SQL = r"""
+WITH RECURSIVE named AS (
+    SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(
+            range(1, 1 + length(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))),
+            lambda i: ascii(substr(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), i, 1))::UBIGINT) AS name
+    FROM conversations),
+hashed AS (
+    SELECT conv, turn, role, text, xor(4294967295::UBIGINT, list_reduce(
+        list_concat([4294967295::UBIGINT], name),
+        lambda c, b: list_reduce(
+            [xor(c, b), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT],
+            lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))) % 20 AS way
+    FROM named),
+damaged AS (
+    SELECT conv, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+        CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE way WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM hashed),
+stripped AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS place,
+        left(role, 1) AS initial
+    FROM stripped),
+marked AS (
+    SELECT *, body = '' AS blank,
+        body <> '' AND row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 AS duplicate,
+        lag(initial) OVER (PARTITION BY conv ORDER BY place) AS before,
+        count(*) OVER (PARTITION BY conv) AS size
+    FROM placed),
+elements AS (
+    SELECT *, NOT blank AND NOT duplicate AND right(body, 1) NOT IN ('.', '!', '?') AS truncated FROM marked),
+convs AS (SELECT DISTINCT conv_id AS conv FROM conversations),
+sums AS (
+    SELECT c.conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+        count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (duplicate)::BIGINT AS duplicate,
+        count(*) FILTER (truncated)::BIGINT AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+    FROM convs c LEFT JOIN elements e ON e.conv IS NOT DISTINCT FROM c.conv AND e.place IS NOT NULL GROUP BY c.conv),
+-- costs of the rest before each row, from each state: start, after system, after user, after assistant
+costs AS (
+    SELECT c.conv, coalesce(max(e.size), 0) AS place, 0 AS q0, 4 AS q1, 2 AS q2, 0 AS q3
+    FROM convs c LEFT JOIN elements e ON e.conv IS NOT DISTINCT FROM c.conv GROUP BY c.conv
+    UNION ALL
+    SELECT conv, place, least(x0, 2 + least(x2, 2 + x3)), least(x1, 2 + least(x2, 2 + x3)), least(x2, 2 + x3), least(x3, 2 + x2)
+    FROM (
+        SELECT k.conv, k.place - 1 AS place,
+            CASE WHEN gone THEN 3 + q0
+                ELSE least(3 + q0, t + q2 + CASE WHEN initial = 'u' THEN 0 ELSE 2 END, CASE WHEN initial = 's' THEN t + q1 END) END AS x0,
+            CASE WHEN gone THEN 3 + q1 ELSE least(3 + q1, t + q2 + CASE WHEN initial = 'u' THEN 0 ELSE 2 END) END AS x1,
+            CASE WHEN gone THEN 3 + q2 ELSE least(3 + q2, t + q3 + CASE WHEN initial = 'a' THEN 0 ELSE 2 END) END AS x2,
+            CASE WHEN gone THEN 3 + q3 ELSE least(3 + q3, t + q2 + CASE WHEN initial = 'u' THEN 0 ELSE 2 END) END AS x3
+        FROM costs k JOIN (
+            SELECT conv, place, blank OR duplicate AS gone, truncated::INTEGER AS t, initial FROM elements
+        ) e ON e.conv IS NOT DISTINCT FROM k.conv AND e.place = k.place)),
+vectors AS (SELECT conv, place, [q0, q1, q2, q3] AS q FROM costs),
+-- one edit at a time: D, I, K, R in this order where it keeps the cost; place is the number of rows done
+walk AS (
+    SELECT conv, 0::BIGINT AS place, 1 AS state, '' AS audit, NULL::VARCHAR AS text FROM convs
+    UNION ALL
+    SELECT conv, CASE edit WHEN 'I' THEN place ELSE place + 1 END, CASE edit WHEN 'D' THEN state WHEN 'S' THEN 2 ELSE following END,
+        audit || CASE edit WHEN 'S' THEN 'K' ELSE edit END,
+        CASE WHEN edit = 'D' THEN text ELSE coalesce(text || chr(10), '') || CASE
+            WHEN edit IN ('K', 'S') THEN role || ':' || body
+            WHEN edit = 'R' THEN new_role || ':' || body ELSE new_role || ':' END END
+    FROM (
+        SELECT *, CASE WHEN after IS NULL THEN CASE WHEN now[state] > 0 THEN 'I' END
+            WHEN 3 + after[state] = now[state] THEN 'D'
+            WHEN 2 + now[following] = now[state] THEN 'I'
+            WHEN gone THEN 'D'
+            WHEN initial = 's' AND state = 1 AND t + after[2] = now[state] THEN 'S'
+            WHEN initial = left(new_role, 1) AND t + after[following] = now[state] THEN 'K'
+            ELSE 'R' END AS edit
+        FROM (
+            SELECT w.*, CASE w.state WHEN 3 THEN 4 ELSE 3 END AS following,
+                CASE w.state WHEN 3 THEN 'assistant' ELSE 'user' END AS new_role,
+                v.q AS now, n.q AS after, e.blank OR e.duplicate AS gone, e.truncated::INTEGER AS t, e.initial, e.role, e.text AS body
+            FROM walk w JOIN vectors v ON v.conv IS NOT DISTINCT FROM w.conv AND v.place = w.place
+            LEFT JOIN vectors n ON n.conv IS NOT DISTINCT FROM w.conv AND n.place = w.place + 1
+            LEFT JOIN elements e ON e.conv IS NOT DISTINCT FROM w.conv AND e.place = w.place + 1))
+    WHERE edit IS NOT NULL),
+ends AS (
+    SELECT conv, arg_max(audit, length(audit)) AS audit, arg_max(coalesce(text, ''), length(audit)) AS text FROM walk GROUP BY conv)
+SELECT s.conv AS conv_id, gaps, blank, duplicate, truncated, illegal, v.q[1]::BIGINT AS cost, e.audit,
+    sha256(e.text) AS repaired_sha256
+FROM sums s JOIN vectors v ON v.conv IS NOT DISTINCT FROM s.conv AND v.place = 0
+JOIN ends e ON e.conv IS NOT DISTINCT FROM s.conv
+"""
