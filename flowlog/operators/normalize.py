@@ -17,9 +17,12 @@ from ..functions import (
     tolerant_long,
 )
 from ..schema import ALIASES, LOG_SCHEMA, TAGS, UNKNOWN
+from ..session import materialize
 from ..sources.csv_files import Layout
 from .preview import sample_cap
 
+OFFSETS = 2_000_000
+
 
 def normalize_csv(
     layouts: list[Layout], max_rows: int | None = None, month_first: bool = False
@@ -32,9 +35,12 @@ def normalize_csv(
     layouts = [layout for layout in layouts if layout.header]
     if not layouts:
         raise ValueError("no CSV files with a header")
-    rows = reduce(DataFrame.unionByName, [_fields(lay, month_first) for lay in layouts])
-    blocks = reduce(DataFrame.unionByName, [_blocks(lay) for lay in layouts])
-    records = _numbered(rows, blocks)
+    numbered = [_fields(lay, month_first) for lay in layouts if lay.numbered]
+    others = [lay for lay in layouts if not lay.numbered]
+    if others:
+        rows = reduce(DataFrame.unionByName, [_fields(lay, month_first) for lay in others])
+        numbered.append(_numbered(rows, reduce(DataFrame.unionByName, [_blocks(lay) for lay in others])))
+    records = _records(reduce(DataFrame.unionByName, numbered))
     return records if max_rows is None else sample_cap(records, max_rows)
 
 
@@ -43,9 +49,7 @@ def _fields(layout: Layout, month_first: bool) -> DataFrame:
     cells = {field: _cells(layout, names) for field, names in ALIASES.items()}
     parts = layout.rows.select(
         "source_file",
-        "_path",
-        "_block",
-        "_pos",
+        *layout.place,
         *[
             F.coalesce(*[value for _, value in found], nothing).alias(field)
             for field, found in cells.items()
@@ -56,9 +60,7 @@ def _fields(layout: Layout, month_first: bool) -> DataFrame:
     )
     typed = parts.select(
         "source_file",
-        "_path",
-        "_block",
-        "_pos",
+        *layout.place,
         "timestamp",
         event_time(F.col("timestamp"), month_first).alias("event_ts"),
         "src_ip",
@@ -99,24 +101,33 @@ def _blocks(layout: Layout) -> DataFrame:
 def _numbered(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Number the rows of each file without gathering a file in one task.
 
-    A row's number is its position in its split plus the rows of the splits
-    before. There is one offset row per split; Spark broadcasts them when their
-    measured size allows and joins by split otherwise.
+    A row's number is its position in its split plus the rows of the splits before. There is one offset row per split, known
+    by a 64-bit hash of its file and place. Up to ``OFFSETS`` of them, 40 bytes each, are sent to the tasks, so that no row is
+    shuffled; more are joined by split.
     """
-    key = ["source_file", "_path", "_block"]
     before = (
         Window.partitionBy("source_file")
         .orderBy("_path", "_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    offsets = blocks.select(*key, "_n", "_first", offset.alias("_offset"))
+    key = F.xxhash64("_path", "_block").alias("_split")
+    offsets = materialize(blocks.select(key, "_n", "_first", offset.alias("_offset")))
+    known = offsets.agg(F.count("*"), F.count_distinct("_split")).first()
+    if known[0] != known[1]:
+        raise ValueError("two splits have one hash; read these files in two parts")
+    if known[0] <= OFFSETS:
+        offsets = F.broadcast(offsets)
     place = F.col("_pos") - F.col("_first")
     index = F.when((place >= 0) & (place < F.col("_n")), F.col("_offset") + place).otherwise(
         F.raise_error(F.lit("files changed while their rows were numbered")).cast("bigint")
     )
     # left: a split that was not counted fails the job instead of losing rows
-    numbered = rows.join(offsets, key, "left").withColumn("row_index", index)
+    numbered = rows.withColumn("_split", F.xxhash64("_path", "_block")).join(offsets, "_split", "left")
+    return numbered.withColumn("row_index", index).drop("_split", "_n", "_first", "_offset", "_path", "_block", "_pos")
+
+
+def _records(numbered: DataFrame) -> DataFrame:
     return numbered.withColumns(
         {
             "id": F.concat("source_file", F.lit(":"), F.col("row_index").cast("string")),

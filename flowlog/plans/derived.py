@@ -166,3 +166,26 @@ def write_csv_folder(logs: DataFrame) -> str:
             "header", True
         ).option("ignoreLeadingWhiteSpace", False).csv(f"{folder}/layout_{i}")
     return folder
+
+
+def write_quoted_csv(logs: DataFrame) -> str:
+    """Write the records as one file whose cells hold line breaks, quotes, commas and blanks where they can mislead."""
+    folder = scratch_path(logs.sparkSession, "quoted")
+    note = F.expr(_NOTE)
+    rows = logs.select("id", note.alias("action"), F.coalesce("src_ip", F.lit("")).alias("src_ip"), "bytes")
+    # one file, in the order of the ids
+    rows.repartitionByRange(1, "id").sortWithinPartitions("id").write.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return folder
+
+
+_NOTE = """
+  CASE id % 9
+    WHEN 0 THEN concat(action, '\\n', id, ',"x"\\n')
+    WHEN 1 THEN concat('"', action, '"')
+    WHEN 2 THEN concat(action, ', "', id)
+    WHEN 3 THEN concat('\\n\\n', action, '\\n"\\n,')
+    WHEN 4 THEN repeat(concat(action, ',\\n'), 20)
+    ELSE action
+  END"""

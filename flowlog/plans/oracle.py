@@ -227,6 +227,17 @@ ORACLE: dict[str, str] = {
         + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADERS))
         + " END AS header, count(*) AS rows, count(src_ip) AS with_source FROM logs GROUP BY id % 4"
     ),
+    "read_quoted_csv": _logs(
+        """SELECT id, row_number() OVER (ORDER BY id) - 1 AS row_index,
+        CASE id % 9
+            WHEN 0 THEN concat(action, chr(10), id, ',"x"', chr(10))
+            WHEN 1 THEN concat('"', action, '"')
+            WHEN 2 THEN concat(action, ', "', id)
+            WHEN 3 THEN concat(chr(10), chr(10), action, chr(10), '"', chr(10), ',')
+            WHEN 4 THEN repeat(concat(action, ',', chr(10)), 20)
+            ELSE action END AS note,
+        coalesce(src_ip, '') AS src_ip, bytes, false AS corrupt FROM logs"""
+    ),
     "normalize_csv": _logs(
         """SELECT timestamp AS event_ts, src_ip, dst_ip, src_port, dst_port, protocol, bytes, action,
         message, CASE WHEN bytes IS NOT NULL THEN CASE id % 4 WHEN 0 THEN 'Total Length of Fwd Packets'

@@ -12,6 +12,7 @@ from ..functions import action_class, row_severity
 from ..operators import catalog, compare, filters, ips, keywords, knn, preview, reports, stats, vectors
 from ..operators.normalize import normalize_csv
 from ..session import materialize, scratch_path
+from ..sources import csv_files
 from ..sources.csv_files import read_log_csv
 from ..sources.events import logs_from_events
 from ..sources.tables import append_history, read_table, replace_source
@@ -104,6 +105,22 @@ def _read_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _read_quoted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of one file with line breaks in quotes, read in many splits, and the numbers of the rows."""
+    folder = derived.write_quoted_csv(logs_of(spark, sf_dir))
+    layout = read_log_csv(spark, folder, split_bytes=20_000)[0]
+    cells = [F.col(c).alias(n) for c, n in zip(layout.cells, layout.header)]
+    rows = layout.rows.select("row_index", *cells, csv_files.CORRUPT)
+    return rows.select(
+        F.col("id").cast("bigint").alias("id"),
+        "row_index",
+        F.col("action").alias("note"),
+        F.coalesce("src_ip", F.lit("")).alias("src_ip"),
+        F.col("bytes").cast("bigint").alias("bytes"),
+        F.col(csv_files.CORRUPT).isNotNull().alias("corrupt"),
+    )
+
+
 def _normalize_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _csv_folder(spark, sf_dir)
     records = normalize_csv(read_log_csv(spark, folder, recursive=True))
@@ -353,6 +370,7 @@ def _dashboard_totals(logs: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "read_log_csv": _read_log_csv,
+    "read_quoted_csv": _read_quoted_csv,
     "normalize_csv": _normalize_csv,
     "upload_preview": _over_logs(_upload_preview),
     "replace_source": _over_logs(_replace_source),

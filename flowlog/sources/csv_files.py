@@ -14,32 +14,50 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_splits import cut_rows, list_splits, resolve, survey
+
 CSV_GLOB = "*.[cC][sS][vV]"
 CORRUPT = "_corrupt_record"
 # schemes pyarrow opens with the executors' own credentials, and its names for them
 _DIRECT_SCHEMES = {s: s for s in ("", "file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")} | {"s3a": "s3", "s3n": "s3"}
 # a line of these only is blank
 _BLANKS = " \t\v\f\r\n"
+_FILES = "source_file string, filled boolean"
 
 
 @dataclass(frozen=True)
 class Layout:
     """All files with one header line.
 
-    ``rows`` has text columns ``c0..cn`` by position, the corrupt-record
-    column, ``source_file``, and ``_path, _block, _pos`` that order the rows of
-    a file. ``sources`` are the names of its files, ``empty`` those without rows.
+    ``rows`` has text columns ``c0..cn`` by position, the corrupt-record column, ``source_file``, and what orders the rows of a
+    file: ``row_index``, their number in it, if ``numbered``, else ``_path, _block, _pos``. ``files`` has ``source_file, filled``,
+    whether the file has rows.
     """
 
     header: tuple[str, ...]
     rows: DataFrame
-    sources: tuple[str, ...]
-    empty: tuple[str, ...]
+    files: DataFrame
+    numbered: bool
 
     @property
     def cells(self) -> list[str]:
         return [f"c{i}" for i in range(len(self.header))]
 
+    @property
+    def place(self) -> list[str]:
+        """Columns that order the rows of a file."""
+        return ["row_index"] if self.numbered else ["_path", "_block", "_pos"]
+
+    @property
+    def sources(self) -> tuple[str, ...]:
+        """Names of the files, fetched to the driver."""
+        return tuple(sorted(row.source_file for row in self.files.collect()))
+
+    @property
+    def empty(self) -> tuple[str, ...]:
+        """Names of the files without rows, fetched to the driver."""
+        return tuple(sorted(row.source_file for row in self.files.where(~F.col("filled")).collect()))
+
 
 def read_log_csv(
     spark: SparkSession,
@@ -47,17 +65,20 @@ def read_log_csv(
     recursive: bool = False,
     multi_line: bool = True,
     fail_fast: bool = False,
+    split_bytes: int | None = None,
 ) -> list[Layout]:
     """Scan the ``.csv`` files below ``paths``, one scan per distinct header.
 
-    One scan over mixed headers would assign cells by the position of the first
-    file's names. Rows with too few or too many cells are kept and flagged in
-    the corrupt-record column, or fail the job with ``fail_fast``.
-    Line breaks in quotes are part of a cell, so a file is read by one task.
-    Without ``multi_line`` large files are split; a row that such a line break
-    cuts then fails the job. Files without any line are named in a last layout
-    without columns.
+    One scan over mixed headers would assign cells by the position of the first file's names. Rows with too few or too many
+    cells are kept and flagged in the corrupt-record column, or fail the job with ``fail_fast``. Line breaks in quotes are part
+    of a cell. Large files are cut into splits of ``split_bytes`` (as Spark's own scans if not given) at true row ends, for which
+    all bytes are read once before. Files without any line are named in a last layout without columns.
+
+    Without ``multi_line`` the files are cut at any line end, without a first pass; a row that a line break cuts then fails
+    the job. File systems that pyarrow cannot open are read by Spark's reader, a file by one task.
     """
+    if multi_line and _opened_directly(paths):
+        return _split_layouts(spark, paths, recursive, fail_fast, split_bytes or scan_bytes(spark))
     by_header: dict[str, list[Row]] = {}
     # a scan skips files of size 0, so those are known from the listing only
     blank = {_plain(uri) for uri in _listed(spark, paths, recursive).inputFiles()}
@@ -70,15 +91,82 @@ def read_log_csv(
     for header, files in sorted(by_header.items()):
         names = tuple(next(csv.reader([header])))
         rows = _scan(spark, names, [f.path for f in files], multi_line, fail_fast)
-        sources = tuple(_source_name(f.path) for f in files)
-        empty = tuple(_source_name(f.path) for f in files if not f.filled)
-        layouts.append(Layout(names, rows, sources, empty))
+        known = spark.createDataFrame([(_source_name(f.path), f.filled) for f in files], _FILES)
+        layouts.append(Layout(names, rows, known, False))
     if blank:
-        none = _scan(spark, (), sorted(blank), multi_line, fail_fast).where(F.lit(False))
-        layouts.append(Layout((), none, (), tuple(_source_name(path) for path in sorted(blank))))
+        layouts.append(_blank_layout(spark, spark.createDataFrame([(_source_name(p), False) for p in sorted(blank)], _FILES)))
+    return layouts
+
+
+def _split_layouts(
+    spark: SparkSession, paths: str | list[str], recursive: bool, fail_fast: bool, split_bytes: int
+) -> list[Layout]:
+    listed = _listed(spark, paths, recursive)
+    files = listed.select("path", "length")
+    opened = _open
+    cut = list_splits(files, split_bytes)
+    name = F.replace(F.substring_index("path", "/", -1), F.lit(" "), F.lit("_"))
+    splits = resolve(survey(_spread(cut, _tasks(spark, cut.count())), opened), name)
+    known = splits.groupBy("path").agg(
+        F.first("source_file").alias("source_file"), F.max("rows").alias("rows"), F.first("header").alias("header")
+    )
+    # a row per distinct header
+    headers = splits.where("header is not null").groupBy("header")
+    headers = headers.agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).collect()
+    layouts = []
+    for row in sorted(headers, key=lambda row: row.header):
+        names = tuple(next(csv.reader(row.header.splitlines(keepends=True))))
+        mine = F.col("header") == row.header
+        tasks = min(row.n, max(_tasks(spark, row.n), -(-row.bytes // split_bytes)))
+        rows = _cells(cut_rows(_spread(splits.where(mine), tasks), opened), names, fail_fast)
+        of_layout = known.where(mine).select("source_file", (F.col("rows") > 0).alias("filled"))
+        layouts.append(Layout(names, rows, of_layout, True))
+    blank = known.where("header is null").select("source_file", F.lit(False).alias("filled"))
+    # a scan skips files of size 0, so those are known from the listing only
+    uris = listed.inputFiles()
+    if len(uris) > known.count():
+        paths_ = spark.createDataFrame([(_plain(uri),) for uri in uris], "plain string")
+        seen = known.select(F.regexp_replace("path", r"^(\w+):/*", "$1:/").alias("plain"))
+        left = paths_.join(seen, "plain", "left_anti")
+        last = F.replace(F.substring_index("plain", "/", -1), F.lit(" "), F.lit("_"))
+        blank = blank.unionByName(left.select(last.alias("source_file"), F.lit(False).alias("filled")))
+    if not blank.isEmpty():
+        layouts.append(_blank_layout(spark, blank))
     return layouts
 
 
+def _tasks(spark: SparkSession, splits: int) -> int:
+    """Tasks for some splits: at least as many as there are cores, if there are as many splits."""
+    return max(1, min(splits, spark.sparkContext.defaultParallelism))
+
+
+def _spread(splits: DataFrame, tasks: int) -> DataFrame:
+    """Splits dealt out evenly; these are small rows, which one task can hand out."""
+    return splits.coalesce(1).repartition(tasks)
+
+
+def _blank_layout(spark: SparkSession, files: DataFrame) -> Layout:
+    none = spark.createDataFrame([], f"{CORRUPT} string, source_file string, row_index bigint")
+    return Layout((), none, files, True)
+
+
+def _cells(rows: DataFrame, names: tuple[str, ...], fail_fast: bool) -> DataFrame:
+    """Cells of whole rows by position."""
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), f"{CORRUPT} string"])
+    parsed = F.from_csv("value", schema, {**_options(fail_fast), "maxColumns": str(max(20480, 2 * len(names)))})
+    return rows.select(parsed.alias("r"), "source_file", "row_index").select("r.*", "source_file", "row_index")
+
+
+def scan_bytes(spark: SparkSession) -> int:
+    """The size of a split in Spark's own file scans."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) << 10 * " kmgt".index(unit or " ")
+
+
+def _options(fail_fast: bool) -> dict[str, str]:
+    return {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
+
+
 def _source_name(path: str) -> str:
     return path.rsplit("/", 1)[-1].replace(" ", "_")
 
@@ -94,7 +182,7 @@ def _listed(spark: SparkSession, paths: str | list[str], recursive: bool) -> Dat
         .option("pathGlobFilter", CSV_GLOB)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(paths)
-        .select("path")  # the content column is pruned, so nothing is opened here
+        .select("path", "length")  # the content column is pruned, so nothing is opened here
     )
 
 
@@ -105,9 +193,8 @@ def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool =
     rows follow. Reads the start of each file only. File systems that pyarrow cannot open
     are read through Spark's text source instead.
     """
-    listed = _listed(spark, paths, recursive)
-    given = [paths] if isinstance(paths, str) else paths
-    if any(urlsplit(p).scheme.lower() not in _DIRECT_SCHEMES for p in given):
+    listed = _listed(spark, paths, recursive).select("path")
+    if not _opened_directly(paths):
         return _header_lines_from_text(spark, paths, recursive)
 
     def open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +212,25 @@ def header_lines(spark: SparkSession, paths: str | list[str], recursive: bool =
     return listed.mapInArrow(open_all, "path string, header string, filled boolean")
 
 
-def _filled_lines(path: str, n: int) -> list[str]:
-    """The first ``n`` lines of a file that are not blank."""
-    scheme, _, rest = path.rpartition(":") if path.startswith("file:") else ("", "", path)
+def _opened_directly(paths: str | list[str]) -> bool:
+    given = [paths] if isinstance(paths, str) else paths
+    return all(urlsplit(p).scheme.lower() in _DIRECT_SCHEMES for p in given)
+
+
+def _open(path: str) -> pa.NativeFile:
+    """A file, as Spark names it, for reading at any place."""
+    scheme, rest = ("file", path.removeprefix("file:")) if path.startswith("file:") else ("", path)
     if scheme or "://" not in path:
         system, name = fs.LocalFileSystem(), re.sub("^//+", "/", rest)
     else:
         system, name = fs.FileSystem.from_uri(quote(direct_uri(path), safe=":/@"))
+    return system.open_input_file(name)
+
+
+def _filled_lines(path: str, n: int) -> list[str]:
+    """The first ``n`` lines of a file that are not blank."""
     found: list[str] = []
-    with system.open_input_stream(name) as stream:
+    with _open(path) as stream:
         pending = b""
         while len(found) < n and (chunk := stream.read(1 << 16)):
             *lines, pending = (pending + chunk).split(b"\n")
@@ -177,9 +274,7 @@ def _scan(
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
-        .option("mode", "FAILFAST" if fail_fast else "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("escape", '"')
+        .options(**_options(fail_fast))
         .option("multiLine", multi_line)
         .csv([glob_escape(f) for f in files])
     )
@@ -231,7 +326,7 @@ def raw_rows(layout: Layout) -> DataFrame:
         names.append(unique)
     return layout.rows.select(
         "source_file",
-        F.struct("_path", "_block", "_pos").alias("row_order"),
+        F.struct(*layout.place).alias("row_order"),
         *[F.col(c).alias(n) for c, n in zip(layout.cells, names)],
     )
 
