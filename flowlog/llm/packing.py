@@ -11,11 +11,8 @@ Null and empty texts are the end id alone. Repeated rows are packed as often as
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .batches import slices
+from .batches import slices, texts
+from .encoding import tokenizer_path, worker_encoder
 
 WINDOW = 2048
 END_ID = 1
@@ -33,80 +31,21 @@ PARTNERS = 16
 PARTS, HOT = 8, 4
 ROUNDS = 300
 BUCKET = 100_000
-_CACHE_CHUNKS, _CACHE_CHARS = 400_000, 48
-
-# A text is cut before a blank or line break that follows something else: no pre-token of the vocabulary crosses such a
-# place. Where blanks meet, and where engines disagree on what is a blank, the text is cut more carefully or not at all.
-_MEETING = re.compile(r"\s[ \n]")
-_CHUNK = re.compile(r"\s*\S+|\s+")
-_UNSURE = re.compile("[\x1c-\x1f\x85]")
-# Marks at the end of a chunk are a pre-token of their own after a letter or digit.
-_MARKS = ".,;:!?*$%&#|"
-_BEFORE_MARKS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789äöüßéèêàáíóúñç")
-
-
-class ChunkEncoder:
-    """Token ids of texts as little-endian bytes; ids of frequent chunks are kept."""
-
-    def __init__(self, path: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path(TOKENIZER)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _cut(self, text: str) -> list[str]:
-        """Chunks of the text; the blank before a chunk is left out, other beginnings are marked by a zero."""
-        if _UNSURE.search(text) or "\0" in text:
-            return ["\0" + text]
-        if _MEETING.search(text):
-            return ["\0" + chunk for chunk in _CHUNK.findall(text)]
-        chunks = text.replace("\n", " \n").split(" ")
-        chunks[0] = "\0" + chunks[0]
-        return chunks
-
-    @staticmethod
-    def _whole(chunk: str) -> str:
-        return chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > _CACHE_CHUNKS:
-            known.clear()
-        cut = [self._cut(text) for text in texts]
-        fresh = set().union(*cut).difference(known)
-        marked = {}
-        for chunk in fresh:
-            if chunk and chunk[-1] in _MARKS:
-                stem = chunk.rstrip(_MARKS)
-                if stem and stem[-1] in _BEFORE_MARKS:
-                    marked[chunk] = stem, "\0" + chunk[len(stem) :]
-        parts = list(fresh.difference(marked).union(*marked.values()).difference(known))
-        found = self.tokenizer.encode_batch_fast([self._whole(chunk) for chunk in parts], add_special_tokens=False)
-        known.update((chunk, array("I", encoding.ids).tobytes()) for chunk, encoding in zip(parts, found, strict=True))
-        known.update((chunk, known[stem] + known[marks]) for chunk, (stem, marks) in marked.items())
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        for chunk in [chunk for chunk in (*parts, *marked) if len(chunk) > _CACHE_CHARS]:
-            del known[chunk]
-        return out
+_SLICE = 4 << 20
 
 
 def token_pieces(docs: DataFrame, key: str, text: str, window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
     """``key, start, length, ids_crc32, doc_tokens`` of every window and remainder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder(tokenizer), array("I", [END_ID]).tobytes()
-        for batch in slices(batches, "text"):
+        encoder, end = worker_encoder(tokenizer_path(TOKENIZER, tokenizer), True, False), np.array([END_ID], "<u4").tobytes()
+        for batch in slices(batches, "text", _SLICE):
             which, numbers = [], []
-            for i, ids in enumerate(encoder.encode([value or "" for value in batch.column("text").to_pylist()])):
-                ids += end
-                total = len(ids) // 4
+            for i, ids in enumerate(encoder.encode(texts(batch, "text"))):
+                raw = ids.astype("<u4").tobytes() + end
+                total = len(ids) + 1
                 for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
+                    piece = raw[4 * start : 4 * (start + window)]
                     which.append(i)
                     numbers.append((start, len(piece) // 4, zlib.crc32(piece), total))
             columns = [pa.array(column, pa.int64()) for column in zip(*numbers, strict=True)]
@@ -237,7 +176,7 @@ def _ranked(pieces: DataFrame, spark_rows: list) -> DataFrame:
         [(n, -(-count // BUCKET)) for n, count in spark_rows], "length2 bigint, buckets bigint"
     )
     rows = pieces.join(F.broadcast(buckets), F.col("length") == F.col("length2")).drop("length2")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "start", "ids_crc32"), F.col("buckets"))).drop("buckets")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     offsets = counts.select(
@@ -245,7 +184,7 @@ def _ranked(pieces: DataFrame, spark_rows: list) -> DataFrame:
         F.col("bucket").alias("bucket2"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
     )
-    inside = Window.partitionBy("length", "bucket").orderBy("key", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("row")
     rows = rows.withColumn("within", F.row_number().over(inside))
     same = (F.col("length") == F.col("length2")) & (F.col("bucket") == F.col("bucket2"))
     return rows.join(offsets, same).select(
@@ -260,7 +199,8 @@ def pack_documents(
 
     Sequences are numbered from 0; offsets have no gaps.
     """
-    pieces = materialize(token_pieces(docs, key, text, window, tokenizer))
+    # numbered once and for all by the checkpoint, so that equal rows are dealt out too
+    pieces = materialize(token_pieces(docs, key, text, window, tokenizer).withColumn("row", F.monotonically_increasing_id()))
     # at most ``window`` rows
     rows = [(row[0], row[1]) for row in pieces.groupBy("length").count().orderBy("length").collect()]
     histogram = np.zeros(window + 1, np.int64)
