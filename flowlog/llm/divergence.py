@@ -2,12 +2,15 @@
 
 1. Each language keeps the terms that enough of its documents have; they are numbered in UTF-8 order.
 2. The kept terms become minimal acyclic transducers, whose outputs are the ordinals, and all texts stream through them to be
-   counted by source. Terms in at least ``FREQUENT_SHARE`` of all (document, term) pairs, 1 / ``FREQUENT_SHARE`` at most and
-   ``FREQUENT_BYTES`` long at most, are transducers that every task has. What these do not know goes to shards of about
-   ``SHARD`` other kept terms, by hash; a task builds the shard's transducers, recounts and forgets them.
+   counted by source. Every task has the transducers of up to ``FREQUENT`` terms of up to ``FREQUENT_BYTES``; if more are kept, these
+   are the terms with at least 1 / ``FREQUENT`` of all (document, term) pairs. What these do not know, and a Bloom filter of fixed size
+   lets through, goes to shards of the other kept terms, by hash, of about ``SHARD`` of them and ``ASKS`` rows; a task builds a
+   shard's transducers, recounts and forgets them.
 3. Counts become probabilities in exact integers, by long division. Pairs of sources are compared by blocks of terms and of
    sources as whole arrays; all that leaves a block are its sums. Ordinals break ties.
 
+A group of a language and a source is known by a 64-bit hash, and different groups with one hash are an error.
+
 Null text, language and source are the empty text. Repeated rows are documents of their own. A language without kept terms has
 pairs of value 0 and no terms; a source alone in its language has no pairs. No rows give no rows.
 """
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +32,13 @@ from .transducer import Transducer
 
 MIN_DOCS = 10
 TOP = 10
-FREQUENT_SHARE = 4e-6
+FREQUENT = 250_000
 FREQUENT_BYTES = 64
-SHARD = 100_000
+SHARD, ASKS = 100_000, 1_000_000
 TERMS, SOURCES = 4096, 256  # of a block
+FILTER_BITS, FILTER_HASHES = 1 << 24, 3  # 2 MB, however many terms there are
 _SLICE = 4 << 20
+_TALLY = 1 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IN_TERM = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -132,23 +137,20 @@ def _term_documents(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(kept: DataFrame) -> DataFrame:
-    """``kept`` with ``ordinal`` 0, 1, ... in UTF-8 order inside each language, from ranks inside sorted ranges."""
+    """``kept`` with ``ordinal`` 0, 1, ... by language and, in UTF-8 order, term, from ranks inside sorted ranges."""
     ranges = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
     ranges = _stored(ranges.withColumn("part", F.spark_partition_id()), "vocabulary")
-    inside = Window.partitionBy("part", "lang").orderBy("term")
-    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranges.groupBy("lang", "part").agg(F.count("*").alias("n"))
-    offsets = sizes.select(
-        F.col("lang").alias("lang2"), F.col("part").alias("part2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b")
-    )
-    out = ranges.withColumn("r", F.row_number().over(inside) - 1)
-    out = out.join(offsets, (F.col("lang") == F.col("lang2")) & (F.col("part") == F.col("part2")))
-    out = out.select("lang", "term", "n_docs", (F.col("b") + F.col("r")).alias("ordinal"))
-    return _stored(out, "ordinals")
+    # a row per range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = sizes.select(F.col("part").alias("part2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b"))
+    out = ranges.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("lang", "term")) - 1)
+    out = out.join(offsets, F.col("part") == F.col("part2"))
+    return _stored(out.select("lang", "term", "n_docs", (F.col("b") + F.col("r")).alias("ordinal")), "ordinals")
 
 
 def _transducers(rows: list[tuple[str, bytes, int]]) -> dict[str, tuple[Transducer, np.ndarray]]:
-    """Per language, from rows in ascending order: the transducer of its terms, and their ordinals in the language."""
+    """Per language, from rows in ascending order: the transducer of its terms, and their ordinals among all kept terms."""
     out: dict[str, tuple[Transducer, np.ndarray]] = {}
     first = 0
     for i in range(1, len(rows) + 1):
@@ -159,69 +161,147 @@ def _transducers(rows: list[tuple[str, bytes, int]]) -> dict[str, tuple[Transduc
     return out
 
 
-def source_counts(docs: DataFrame, kept: DataFrame, frequent_share: float = FREQUENT_SHARE, shard: int = SHARD) -> DataFrame:
-    """``lang, source, ordinal, n``: how often each source has each of its language's kept terms, by transducers.
+class _Tally:
+    """Counts of (group, ordinal), summed while they fit."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, group: np.ndarray, ordinal: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((group, ordinal, n))
+        self.size += len(n)
+        if self.size > _TALLY:
+            self._sum()
+            if self.size > _TALLY // 2:
+                yield self.out()
+
+    def _sum(self) -> None:
+        group, ordinal, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((ordinal, group))
+        group, ordinal = group[order], ordinal[order]
+        new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (ordinal[1:] != ordinal[:-1]))[: len(group)])
+        sums = np.add.reduceat(n[order], new) if len(new) else n
+        self.parts, self.size = [(group[new], ordinal[new], sums)], len(new)
+
+    def out(self) -> pa.RecordBatch:
+        columns = [pa.array(x) for x in self.parts[0]]
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.string()), pa.nulls(len(columns[0]), pa.binary())], _COUNTED)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._sum()
+            yield self.out()
+
+
+_COUNTED = ["grp", "ordinal", "n", "lang", "term"]
+
+
+def _term_filter(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``lang, term`` rows as 64-bit words; tasks make the words, a row per word reaches the driver."""
+    h = F.xxhash64("lang", "term")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    places = F.array(*[(low + F.lit(i) * high) % F.lit(FILTER_BITS) for i in range(FILTER_HASHES)])
+    bits = terms.select(F.explode(places).alias("at"))
+    bits = bits.select(F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("bit"))
+    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).collect():
+        words[word] = np.uint64(bit & (2**64 - 1))
+    return words
+
+
+def _may_be_in(words: np.ndarray, lang: str, terms: list[bytes]) -> np.ndarray:
+    """Whether the filter lets each term of a language through."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), seed=42)
+    h = np.fromiter((xxhash.xxh64_intdigest(term, seed=seed) for term in terms), np.uint64, len(terms))
+    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
+    out = np.ones(len(terms), bool)
+    for i in range(FILTER_HASHES):
+        at = (low + np.uint64(i) * high) % np.uint64(FILTER_BITS)
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def group_hash() -> Column:
+    return F.xxhash64("lang", "source")
 
-    ``docs`` has ``lang``, ``source`` and ``text`` without nulls, ``kept`` is ``lang, term, n_docs, ordinal``.
+
+def source_counts(docs: DataFrame, kept: DataFrame, frequent: int = FREQUENT, shard: int = SHARD, asks: int = ASKS) -> DataFrame:
+    """``grp, ordinal, n``: how often each group has each of its language's kept terms, by transducers.
+
+    ``docs`` has ``lang``, ``source`` and ``text`` without null languages and sources, ``kept`` is ``lang, term, n_docs, ordinal``.
     """
-    total = kept.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    frequent = (F.col("n_docs") >= F.lit(frequent_share * total)) & (F.octet_length("term") <= FREQUENT_BYTES)
-    # at most 1 / frequent_share rows of bounded length
-    rows = kept.where(frequent).select("lang", "term", "ordinal").collect()
+    known = kept.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    least = 0 if known[0] <= frequent else known[1] / frequent
+    often = (F.col("n_docs") >= F.lit(least)) & (F.octet_length("term") <= FREQUENT_BYTES)
+    rows = kept.where(often).select("lang", "term", "ordinal").collect()  # bounded in number and length
     rows = sorted((lang, bytes(term), ordinal) for lang, term, ordinal in rows)
-    sent = docs.sparkSession.sparkContext.broadcast(_transducers(rows))
-    rest = kept.where(~frequent).select("lang", "term", "ordinal")
-    others = rest.count()
+    others = known[0] - len(rows)
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(_transducers(rows))
+    rest = kept.where(~often).select("lang", "term", "ordinal")
+    passing = context.broadcast(_term_filter(rest) if others else None)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
         for batch, values, _ in _pieces(batches):
             terms = _Terms(values)
             size = max(1, len(terms.known))
-            of_row, langs = _codes(batch.column("lang"))
-            of_row2, sources = _codes(batch.column("source"))
-            group = of_row * len(sources) + of_row2
-            found, number = np.unique(group[terms.owner] * size + terms.code, return_counts=True)
-            code, group = found % size, found // size
-            lang = group // len(sources)
+            names, of_row = np.unique(batch.column("grp").to_numpy(), return_inverse=True)
+            found, number = np.unique(of_row[terms.owner] * size + terms.code, return_counts=True)
+            code, group = found % size, names[found // size]
+            lang, langs = _codes(batch.column("lang"))
+            lang_of = np.zeros(len(names), np.int64)
+            lang_of[of_row] = lang
+            lang = lang_of[found // size]
             ordinal = np.full(len(found), -1, np.int64)
             for i, name in enumerate(langs.to_pylist()):
                 if name in sent.value:
                     transducer, numbers = sent.value[name]
                     own = np.flatnonzero(lang == i)
-                    at = terms.ordinals(transducer, code[own])
+                    each, back = np.unique(code[own], return_inverse=True)  # a term of many groups is walked once
+                    at = terms.ordinals(transducer, each)[back]
                     ordinal[own[at >= 0]] = numbers[at[at >= 0]]
-            if not others:  # all kept terms are in these transducers
-                own = ordinal >= 0
-                lang, group, code, ordinal, number = lang[own], group[own], code[own], ordinal[own], number[own]
-            unknown = pa.array(ordinal < 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    langs.take(pa.array(lang)),
-                    sources.take(pa.array(group % len(sources))),
-                    pc.if_else(unknown, None, pa.array(ordinal)),
-                    pc.if_else(unknown, terms.known.take(pa.array(code)), None).cast(pa.binary()),
-                    pa.array(number.astype(np.int64)),
-                ],
-                ["lang", "source", "ordinal", "term", "n"],
-            )
+            good = ordinal >= 0
+            yield from tally.add(group[good], ordinal[good], number[good].astype(np.int64))
+            if others and not good.all():
+                asked = ~good
+                for i, name in enumerate(langs.to_pylist()):
+                    own = np.flatnonzero(asked & (lang == i))
+                    each, back = np.unique(code[own], return_inverse=True)
+                    asked[own] = _may_be_in(passing.value, name, terms.known.take(pa.array(each)).to_pylist())[back]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(group[asked]),
+                        pa.nulls(int(asked.sum()), pa.int64()),
+                        pa.array(number[asked].astype(np.int64)),
+                        langs.take(pa.array(lang[asked])),
+                        terms.known.take(pa.array(code[asked])).cast(pa.binary()),
+                    ],
+                    _COUNTED,
+                )
+        yield from tally.rest()
 
-    schema = "lang string, source string, ordinal bigint, term binary, n bigint"
-    streamed = docs.select("lang", "source", "text").mapInArrow(stream, schema)
+    schema = "grp bigint, ordinal bigint, n bigint, lang string, term binary"
+    streamed = docs.select("lang", group_hash().alias("grp"), "text").mapInArrow(stream, schema)
     if not others:
-        return streamed.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
+        return streamed.groupBy("grp", "ordinal").agg(F.sum("n").alias("n"))
     streamed = _stored(streamed, "streamed")
-    shards = -(-others // shard)
+    asked = streamed.where("term is not null")
+    shards = max(-(-others // shard), -(-asked.count() // asks))
     number = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int").alias("shard")
-    entries = rest.select(number, "lang", "term", F.lit(None).cast("string").alias("source"), F.col("ordinal").alias("n"))
-    asked = streamed.where("term is not null").select(number, "lang", "term", "source", "n")
-    both = entries.unionByName(asked).repartition("shard").sortWithinPartitions("shard", F.col("source").isNotNull(), "lang", "term")
-    answered = both.mapInArrow(_recount, "lang string, source string, ordinal bigint, n bigint")
-    known = streamed.where("ordinal is not null").select("lang", "source", "ordinal", "n")
-    return known.unionByName(answered).groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
+    entries = rest.select(number, "lang", "term", F.lit(None).cast("bigint").alias("grp"), F.col("ordinal").alias("n"))
+    both = entries.unionByName(asked.select(number, "lang", "term", "grp", "n")).repartition("shard")
+    entry = F.col("grp").isNull()
+    both = both.sortWithinPartitions("shard", F.desc(entry), F.when(entry, F.col("lang")), F.when(entry, F.col("term")))
+    answered = both.mapInArrow(_recount, "grp bigint, ordinal bigint, n bigint")
+    known_ = streamed.where("ordinal is not null").select("grp", "ordinal", "n")
+    return known_.unionByName(answered).groupBy("grp", "ordinal").agg(F.sum("n").alias("n"))
 
 
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of a shard's terms. Its entries, without a source, come first and in order, then what was not known."""
+    """Occurrences of a shard's terms. Its entries, without a group, come first and in order, then what was not known."""
     shard, entries, transducers = -1, [], None
     for batch in batches:
         at = batch.column("shard").to_numpy()
@@ -230,7 +310,7 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at[a] != shard:
                 shard, entries, transducers = at[a], [], None
             part = batch.slice(a, b - a)
-            asks = part.filter(part.column("source").is_valid())
+            asks = part.filter(part.column("grp").is_valid())
             if asks.num_rows < part.num_rows:
                 own = part.slice(0, part.num_rows - asks.num_rows)
                 entries += zip(*(own.column(c).to_pylist() for c in ("lang", "term", "n")), strict=True)
@@ -247,12 +327,10 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own = np.flatnonzero(lang == i)
                     found = _walk(transducer, terms.take(pa.array(own)))
                     ordinal[own[found >= 0]] = numbers[found[found >= 0]]
-            own = pa.array(ordinal >= 0)
-            if pc.any(own).as_py():
-                kept = asks.filter(own)
+            if (ordinal >= 0).any():
+                kept = asks.filter(pa.array(ordinal >= 0))
                 yield pa.RecordBatch.from_arrays(
-                    [kept.column("lang"), kept.column("source"), pa.array(ordinal[ordinal >= 0]), kept.column("n")],
-                    ["lang", "source", "ordinal", "n"],
+                    [kept.column("grp"), pa.array(ordinal[ordinal >= 0]), kept.column("n")], ["grp", "ordinal", "n"]
                 )
 
 
@@ -272,8 +350,8 @@ def _gap(p: Column, q: Column) -> Column:
 def _pair_values(cells: DataFrame, groups: DataFrame, terms: int, sources: int) -> DataFrame:
     """``lang, i, j, value`` for i < j: the sums over all kept terms, from blocks of terms and sources.
 
-    ``cells`` is ``lang, i, ordinal, p`` for terms that a source has, ``groups`` ``lang, i, p0, v, s``: the probability of the
-    terms that it has not, the number of kept terms and of sources.
+    ``cells`` is ``lang, i, s, v, ordinal, p`` for terms that a source has, ``groups`` ``lang, i, p0, v, s``: the probability of
+    the terms that it has not, the number of kept terms and of sources. Ordinals are those inside the language.
     """
     block = F.floor(F.col("ordinal") / terms).cast("int")
     last = F.greatest(F.lit(0), F.floor((F.col("v") - 1) / terms).cast("int"))
@@ -286,9 +364,7 @@ def _pair_values(cells: DataFrame, groups: DataFrame, terms: int, sources: int)
         F.col("p0").alias("p"),
         "v",
     )
-    of_source = groups.select(F.col("lang").alias("lang2"), F.col("i").alias("i2"), "s", "v")
-    rows = cells.join(of_source, (F.col("lang") == F.col("lang2")) & (F.col("i") == F.col("i2")))
-    rows = rows.select("lang", "i", "s", block.alias("block"), "ordinal", "p", "v").unionByName(heads)
+    rows = cells.select("lang", "i", "s", block.alias("block"), "ordinal", "p", "v").unionByName(heads)
     own = F.floor(F.col("i") / sources).cast("int")
     last = F.floor((F.col("s") - 1) / sources).cast("int")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
@@ -354,7 +430,7 @@ def source_divergence(
     text: str = "text",
     min_docs: int = MIN_DOCS,
     top: int = TOP,
-    frequent_share: float = FREQUENT_SHARE,
+    frequent: int = FREQUENT,
     shard: int = SHARD,
     terms: int = TERMS,
     sources: int = SOURCES,
@@ -364,56 +440,66 @@ def source_divergence(
         text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"), F.col(text).cast("string").alias("text")
     )
     kept = _numbered(_term_documents(rows).where(F.col("n_docs") >= min_docs))
-    counts = _stored(source_counts(rows, kept, frequent_share, shard), "source-counts")
+    counts = _stored(source_counts(rows, kept, frequent, shard), "source-counts")
 
     by_lang = Window.partitionBy("lang")
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v")).withColumnRenamed("lang", "lang2")
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    sums = sums.select(F.col("lang").alias("lang3"), F.col("source").alias("source3"), "n")
-    groups = rows.groupBy("lang", "source").agg(F.lit(0).alias("zero"))
+    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.min("ordinal").alias("base")).withColumnRenamed("lang", "lang2")
+    sums = counts.groupBy("grp").agg(F.sum("n").alias("n")).withColumnRenamed("grp", "grp2")
+    groups = rows.groupBy("lang", "source").agg(F.lit(0).alias("zero")).withColumn("grp", group_hash())
     groups = groups.join(sizes, F.col("lang") == F.col("lang2"), "left")
-    groups = groups.join(sums, (F.col("lang") == F.col("lang3")) & (F.col("source") == F.col("source3")), "left")
+    groups = groups.join(sums, F.col("grp") == F.col("grp2"), "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
-    groups = groups.select("lang", "source", zero("v"), zero("n"))
+    groups = groups.select("grp", "lang", "source", zero("v"), zero("base"), zero("n"))
     total = lambda n: F.when(F.col("v") > 0, F.col(n) + 2 * F.col("v")).otherwise(2)
     groups = groups.select(
+        "grp",
         "lang",
         "source",
         "v",
+        "base",
         total("n").alias("d"),
         F.sum("n").over(by_lang).alias("lang_n"),
         (F.row_number().over(by_lang.orderBy("source")) - 1).alias("i"),
         F.count("*").over(by_lang).alias("s"),
     )
     groups = _stored(groups.withColumn("lang_d", total("lang_n")).drop("lang_n"), "groups")
-
-    of_group = groups.select(
-        F.col("lang").alias("lang2"), F.col("source").alias("source2"), "i", "d", "lang_d"
-    )
-    cells = counts.join(of_group, (F.col("lang") == F.col("lang2")) & (F.col("source") == F.col("source2")))
-    lang_n = F.sum("n").over(Window.partitionBy("lang", "ordinal"))
-    cells = cells.select("lang", "source", "i", "ordinal", "n", "d", "lang_d", lang_n.alias("lang_n"))
-    two = lambda name: F.col(name) + F.lit(2)
+    clash = groups.agg(F.count("*"), F.count_distinct("grp")).first()
+    if clash[0] != clash[1]:
+        raise ValueError("two groups of a language and a source have one hash; audit them apart")
+
+    # a kept term belongs to one language
+    in_lang = F.sum("n").over(Window.partitionBy("ordinal"))
+    of_group = groups.select(F.col("grp").alias("grp2"), "lang", "i", "s", "v", "base", "d", "lang_d")
+    two = lambda n: n + F.lit(2)
+    cells = counts.withColumn("lang_n", in_lang).join(of_group, F.col("grp") == F.col("grp2"))
     cells = cells.select(
-        "lang", "source", "i", "ordinal", _share(two("n"), F.col("d")).alias("p"), _share(two("lang_n"), F.col("lang_d")).alias("q")
+        "grp",
+        "lang",
+        "i",
+        "s",
+        "v",
+        (F.col("ordinal") - F.col("base")).alias("ordinal"),
+        F.col("ordinal").alias("whole"),
+        _share(two(F.col("n")), F.col("d")).alias("p"),
+        _share(two(F.col("lang_n")), F.col("lang_d")).alias("q"),
     )
     cells = _stored(cells, "cells")
 
     p0 = groups.select("lang", "i", _share(F.lit(2).cast("bigint"), F.col("d")).alias("p0"), "v", "s")
-    values = _pair_values(cells.select("lang", "i", "ordinal", "p"), p0, terms, sources)
+    values = _pair_values(cells, p0, terms, sources)
     both = values.unionByName(values.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), "value"))
     name = lambda n: groups.select(F.col("lang").alias(f"lang_{n}"), F.col("i").alias(f"i_{n}"), F.col("source").alias(n))
     both = both.join(name("source"), (F.col("lang") == F.col("lang_source")) & (F.col("i") == F.col("i_source")))
     both = both.join(name("item"), (F.col("lang") == F.col("lang_item")) & (F.col("j") == F.col("i_item")))
-    of_source = Window.partitionBy("lang", "source")
-    pairs = both.select(
-        "lang", "source", F.lit("pair").alias("part"), "item", "value",
-        F.row_number().over(of_source.orderBy(F.desc("value"), "item")).alias("rank"),
-    )
-
-    more = cells.where(F.col("p") > F.col("q")).select("lang", "source", "ordinal", _gap(F.col("p"), F.col("q")).alias("value"))
-    more = more.withColumn("rank", F.row_number().over(of_source.orderBy(F.desc("value"), "ordinal"))).where(F.col("rank") <= top)
-    text_of = kept.select(F.col("lang").alias("lang2"), F.col("ordinal").alias("ordinal2"), F.col("term").cast("string").alias("item"))
-    more = more.join(text_of, (F.col("lang") == F.col("lang2")) & (F.col("ordinal") == F.col("ordinal2")))
+    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    pairs = both.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_value).alias("rank"))
+
+    more = cells.where(F.col("p") > F.col("q")).select("grp", "whole", _gap(F.col("p"), F.col("q")).alias("value"))
+    # ordinals stand for the terms' order
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("value"), "whole"))
+    more = more.withColumn("rank", place).where(F.col("rank") <= top)
+    more = more.join(groups.select(F.col("grp").alias("grp2"), "lang", "source"), F.col("grp") == F.col("grp2"))
+    text_of = kept.select(F.col("ordinal").alias("ordinal2"), F.col("term").cast("string").alias("item"))
+    more = more.join(text_of, F.col("whole") == F.col("ordinal2"))
     more = more.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(more)

@@ -96,18 +96,18 @@ def sourced_rows() -> list[tuple]:
     return rows + [("xx", "only", "alone"), ("yy", "p", "one"), ("yy", "q", None), rows[3], rows[3]]
 
 
-@pytest.mark.parametrize("share,shard,terms,sources", [(4e-6, 10**6, 4096, 256), (0.004, 7, 16, 2), (2.0, 50, 5, 3)])
-def test_same_as_brute_force(spark, share, shard, terms, sources):
+@pytest.mark.parametrize("frequent,shard,terms,sources", [(10**6, 10**6, 4096, 256), (100, 7, 16, 2), (1, 50, 5, 3)])
+def test_same_as_brute_force(spark, frequent, shard, terms, sources):
     rows = sourced_rows()
     docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
-    out = divergence.source_divergence(docs, min_docs=3, frequent_share=share, shard=shard, terms=terms, sources=sources)
+    out = divergence.source_divergence(docs, min_docs=3, frequent=frequent, shard=shard, terms=terms, sources=sources)
     same(out, rows, 3)
 
 
 def test_shards_know_what_the_frequent_terms_do_not(spark):
     rows = spark.createDataFrame(sourced_rows(), "lang string, source string, text string").fillna("")
     kept = divergence._numbered(divergence._term_documents(rows).where("n_docs >= 3"))
-    ways = [divergence.source_counts(rows, kept, share, 9) for share in (1e-9, 0.005, 2.0)]
+    ways = [divergence.source_counts(rows, kept, frequent, 9, 50) for frequent in (10**6, 100, 1)]
     found = [{tuple(r) for r in way.collect()} for way in ways]
     assert found[0] == found[1] == found[2] and len(found[0]) > 300
 
