@@ -52,7 +52,10 @@ _RAW_REPORT = """
 
 
 def stored_vectors(logs: DataFrame, sf_dir: str) -> DataFrame:
-    """``id, embedding, document, metadata`` of every record; the embeddings repeat over the records."""
+    """``id, embedding, document, metadata`` of every record.
+
+    The embeddings repeat over the records, turned by one place each time, so that hardly two records have the same.
+    """
     embeddings = logs.sparkSession.read.parquet(f"{sf_dir}/embeddings.parquet")
     shared = embeddings.count()
     records = vector_records(logs.withColumn("row_index", F.col("id")))
@@ -61,16 +64,21 @@ def stored_vectors(logs: DataFrame, sf_dir: str) -> DataFrame:
     ).drop("id", "source_file")
     # a small file is one split, but searching it is work for all cores
     records = records.repartition(logs.sparkSession.sparkContext.defaultParallelism, "_id")
+    turn = (F.floor(F.col("_id") / shared) % F.size("embedding")).cast("int")
+    turned = F.concat(F.slice("embedding", turn + 1, F.size("embedding")), F.slice("embedding", F.lit(1), turn))
     return records.join(embeddings, F.col("vec_id") == F.col("_id") % shared).select(
-        F.col("_id").alias("id"), "embedding", "document", "metadata"
+        F.col("_id").alias("id"), turned.alias("embedding"), "document", "metadata"
     )
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding as a query."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        F.col("vec_id").alias("query_id"), "embedding"
-    )
+    """A query for each embedding, a quarter of the way to the next one, where no record is."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    n = embeddings.count()
+    following = embeddings.select(((F.col("vec_id") + n - 1) % n).alias("before"), F.col("embedding").alias("next"))
+    between = F.zip_with("embedding", "next", lambda a, b: a.cast("double") * 0.75 + b.cast("double") * 0.25)
+    both = embeddings.join(following, F.col("vec_id") == F.col("before"))
+    return both.select(F.col("vec_id").alias("query_id"), between.alias("embedding"))
 
 
 def keyword_queries(logs: DataFrame) -> DataFrame:

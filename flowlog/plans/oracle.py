@@ -157,10 +157,23 @@ queries AS (SELECT DISTINCT concat(lower(protocol), ' ', action) AS query_id,
                    lower(protocol) AS t1, action AS t2 FROM logs)"""
 
 _VECTORS = """
-vectors AS (
-  SELECT l.id, e.vec_id, cast(e.embedding AS double[]) AS v, l.message AS document, l.source_file,
-         l.action, l.protocol, coalesce(l.src_ip, '') AS src_ip, coalesce(l.bytes, 0) AS bytes
+turned AS (
+  SELECT l.*, cast(e.embedding AS double[]) AS e,
+         cast((l.id // (SELECT count(*) FROM embeddings)) % len(e.embedding) AS int) AS turn
   FROM logs l JOIN embeddings e ON e.vec_id = l.id % (SELECT count(*) FROM embeddings)
+),
+vectors AS (
+  SELECT id, list_concat(e[turn + 1:], e[1:turn]) AS v, message AS document, source_file, action, protocol,
+         coalesce(src_ip, '') AS src_ip, coalesce(bytes, 0) AS bytes
+  FROM turned
+)"""
+
+_ASKED = """
+queries AS (
+  SELECT a.vec_id AS query_id,
+         list_transform(list_zip(a.embedding, b.embedding),
+                        lambda p: cast(p[1] AS double) * 0.75 + cast(p[2] AS double) * 0.25) AS q
+  FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings)
 )"""
 
 
@@ -170,18 +183,14 @@ def _nearest(queries: str, k: int) -> str:
 nearest AS (
   SELECT * FROM (
     SELECT query_id, id, d, cast(row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS int) AS rank
-    FROM (SELECT query_id, vec_id,
-            list_sum(list_transform(list_zip(q, cast(embedding AS double[])),
-                                    lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
-          FROM {queries} CROSS JOIN embeddings) JOIN vectors USING (vec_id))
+    FROM (SELECT query_id, id, pow(list_distance(q, v), 2) AS d FROM {queries} CROSS JOIN vectors))
   WHERE rank <= {k}
 )"""
 
 
 _KNN = (
     _with(
-        f"{LOGS}, {_VECTORS}, queries AS (SELECT vec_id AS query_id, cast(embedding AS double[]) AS q"
-        f" FROM embeddings), {_nearest('queries', 5)}",
+        f"{LOGS}, {_VECTORS}, {_ASKED}, {_nearest('queries', 5)}",
         """SELECT query_id, rank, id, round(d, 6) AS distance,
         cast(greatest(0, floor((1 - d / 2) * 100 + 0.5)) AS bigint) AS similarity, document, src_ip, bytes
         FROM nearest JOIN vectors USING (id)""",
@@ -410,8 +419,8 @@ ORACLE: dict[str, str] = {
     "knn_search": _KNN,
     "knn_search_cells": _KNN,
     "knn_lsh": _logs(
-        """SELECT vec_id AS query_id, cast(5 AS bigint) AS hits, vec_id AS nearest, cast(0 AS double) AS distance,
-        cast(0 AS bigint) AS wrong FROM embeddings"""
+        """SELECT vec_id % 10 AS part, count(*) AS queries, cast(5 * count(*) AS bigint) AS hits, cast(0 AS bigint) AS wrong,
+        true AS nine_in_ten FROM embeddings GROUP BY vec_id % 10"""
     ),
     "evidence_payload": _with(
         f"{LOGS}, {_VECTORS}, {_PAIRED}, {_nearest('paired', 5)}",
