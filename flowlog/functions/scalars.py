@@ -55,3 +55,14 @@ def action_class(action: Column) -> Column:
 
 def risk_class(level: Column, other: str = "") -> Column:
     return F.when(level.isin("HIGH", "MEDIUM", "LOW"), F.lower(level)).otherwise(other)
+
+
+def iso_time(time: Column) -> Column:
+    """ISO text of a time; fractions of a second only where there are any."""
+    plain = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(time, "SSSSSS") == "000000", plain).otherwise(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def stamped_name(name: Column, time: Column) -> Column:
+    """A file name behind the second of its upload, blanks as underscores."""
+    return F.concat(F.date_format(time, "yyyyMMdd_HHmmss"), F.lit("_"), F.replace(name, F.lit(" "), F.lit("_")))

@@ -88,6 +88,12 @@ def keyword_queries(logs: DataFrame) -> DataFrame:
     return pairs.select(text.alias("query_id"), text.alias("query"))
 
 
+def address_queries(logs: DataFrame) -> DataFrame:
+    """A two-term query for each action and destination that occur together."""
+    text = F.concat("action", F.lit(" "), "dst_ip")
+    return logs.where("dst_ip is not null").select(text.alias("query_id"), text.alias("query")).distinct()
+
+
 def paired_queries(vectors: DataFrame) -> DataFrame:
     """Keyword queries with the vector of the first record they describe."""
     pair = vectors.select(

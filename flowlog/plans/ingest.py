@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import mark_indexed, upsert_files
 from ..operators.normalize import normalize_csv
-from ..operators.reports import auto_evidence
+from ..operators.reports import auto_evidence, parse_reports
 from ..operators.vectors import embed_messages, fit_embedder, vector_records
 from ..session import materialize
 from ..sources.csv_files import read_log_csv
-from ..sources.tables import read_table, replace_source, stored_sources
+from ..sources.tables import (
+    append_history,
+    drop_sources,
+    read_table,
+    replace_source,
+    replace_table,
+    stored_sources,
+    table_exists,
+)
 
 _FILES = "filename string, uploaded_at timestamp_ntz, rows bigint, indexed boolean"
+#: Files that are listed in a partition filter; more are joined.
+MAX_LISTED = 1000
 
 
 @dataclass(frozen=True)
@@ -47,6 +58,10 @@ class Store:
         return f"{self.root}/embedder"
 
 
+#: Evidence rows to ``query_id, raw``: the text of a report on each, from a language model of the caller's.
+Reporter = Callable[[DataFrame], DataFrame]
+
+
 def ingest_csv(
     spark: SparkSession,
     paths: str | list[str],
@@ -55,6 +70,9 @@ def ingest_csv(
     max_rows: int | None = None,
     recursive: bool = False,
     at: str | None = None,
+    report: Reporter | None = None,
+    month_first: bool = False,
+    **reading,
 ) -> PipelineModel:
     """Normalize, store and embed all CSV files below ``paths``.
 
@@ -62,41 +80,81 @@ def ingest_csv(
     loses its records. The vectors are built from the stored records of these
     files only, so the files are parsed once and no other partition is read.
     Without a ``model`` one is fitted on the stored log table and saved. With
-    the time ``at`` the files are also entered in the stored file table.
+    the time ``at`` the files are also entered in the stored file table, and with ``report`` each gets a first report from
+    its own records, whose outcome is added to the history. ``reading`` are options of ``read_log_csv``.
     """
-    layouts = read_log_csv(spark, paths, recursive)
-    empty = [name for layout in layouts for name in layout.empty]
-    replace_source(normalize_csv(layouts, max_rows), store.logs, empty)
+    if report is not None and at is None:
+        raise ValueError("a history row needs the time of the upload")
+    layouts = read_log_csv(spark, paths, recursive, **reading)
+    files = materialize(reduce(DataFrame.unionByName, [layout.files for layout in layouts]))
+    files = files.groupBy("source_file").agg(F.max("filled").alias("filled"))
+    empty = files.where(~F.col("filled")).select("source_file")
+    # folders of emptied files are deleted one by one, without a job
+    names = (row.source_file for row in empty.toLocalIterator())
+    if any(layout.header for layout in layouts):
+        replace_source(normalize_csv(layouts, max_rows, month_first), store.logs)
+    drop_sources(spark, store.logs, names)
     stored = read_table(spark, store.logs)
     if model is None:
         model = fit_embedder(stored, "message")
         model.write().overwrite().save(store.model)
-    names = sorted({name for layout in layouts for name in layout.sources} - set(empty))
-    touched = stored.where(F.col("source_file").isin(names))
-    replace_source(embed_messages(vector_records(touched), model, "document"), store.vectors, empty)
+    touched = _of_files(stored, files.where("filled"))
+    replace_source(embed_messages(vector_records(touched), model, "document"), store.vectors)
+    drop_sources(spark, store.vectors, (row.source_file for row in empty.toLocalIterator()))
     if at is not None:
         counted = touched.groupBy("source_file").agg(F.count("*").alias("rows"))
-        none = spark.createDataFrame([(name, 0) for name in empty], "source_file string, rows bigint")
+        none = empty.withColumn("rows", F.lit(0).cast("bigint"))
         _enter_files(spark, store, counted.unionByName(none), at, stored_sources(spark, store.logs))
+    if report is not None:
+        filled = files.where("filled").select(F.col("source_file").alias("filename"))
+        record_reports(first_evidence(spark, store, model, filled), report, at, store)
     return model
 
 
+def _of_files(table: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of some source files: by partition filter if they are few, else by a join."""
+    head = files.select("source_file").limit(MAX_LISTED + 1).collect()
+    if len(head) <= MAX_LISTED:
+        return table.where(F.col("source_file").isin(sorted(row.source_file for row in head)))
+    return table.join(files.select("source_file"), "source_file", "left_semi")
+
+
+def read_files(spark: SparkSession, store: Store) -> DataFrame:
+    """The stored file table; empty before the first upload."""
+    if table_exists(spark, store.files):
+        return spark.read.schema(_FILES).parquet(store.files)
+    return spark.createDataFrame([], _FILES)
+
+
 def _enter_files(spark: SparkSession, store: Store, counted: DataFrame, at: str, stored: DataFrame) -> None:
     """Rewrite the stored file table, a row per file."""
-    try:
-        files = spark.read.schema(_FILES).parquet(store.files)
-        files = materialize(files)
-    except AnalysisException:  # the first upload
-        files = spark.createDataFrame([], _FILES)
-    materialize(register_upload(files, counted, at, stored)).write.mode("overwrite").parquet(store.files)
+    replace_table(register_upload(read_files(spark, store), counted, at, stored), store.files)
+
+
+def record_reports(evidence: DataFrame, report: Reporter, at: str, store: Store) -> None:
+    """Ask for a report on each row of evidence, parse it and add its outcome to the stored history.
+
+    A row gets its number from what it says, so a repeated call adds rows with the same numbers.
+    """
+    asked = materialize(evidence)
+    raw = asked.join(report(asked).select("query_id", "raw"), "query_id", "left").select(
+        F.lit(at).cast("timestamp_ntz").alias("queried_at"),
+        "query",
+        F.col("evidence_count").alias("top_k"),
+        "evidence_count",
+        F.coalesce("raw", F.lit("")).alias("raw"),
+    )
+    append_history(parse_reports(raw), store.history)
 
 
 def first_evidence(
-    spark: SparkSession, store: Store, model: PipelineModel, filenames: list[str], most: int = 10
+    spark: SparkSession, store: Store, model: PipelineModel, filenames: list[str] | DataFrame, most: int = 10
 ) -> DataFrame:
     """Evidence for a first report on some stored files, each from its own records."""
-    files = spark.read.schema(_FILES).parquet(store.files).where(F.col("filename").isin(filenames))
-    vectors = read_table(spark, store.vectors).where(F.col("source_file").isin(filenames))
+    if not isinstance(filenames, DataFrame):
+        filenames = spark.createDataFrame([(name,) for name in filenames], "filename string")
+    files = read_files(spark, store).join(filenames.distinct(), "filename", "left_semi")
+    vectors = _of_files(read_table(spark, store.vectors), filenames.select(F.col("filename").alias("source_file")))
     return auto_evidence(files, vectors, lambda asked: embed_messages(asked, model, "query"), most, only_file=True)
 
 

@@ -329,6 +329,16 @@ ORACLE: dict[str, str] = {
         f"{LOGS}, {_KEYWORD_QUERIES}, {_batch('queries', 10)}",
         f"SELECT query_id, rank, {RECORD} FROM hits",
     ),
+    "keyword_search_many": _with(
+        f"""{LOGS}, queries AS (SELECT DISTINCT concat(action, ' ', dst_ip) AS query_id, action AS t1, dst_ip AS t2
+        FROM logs WHERE dst_ip IS NOT NULL), {_batch('queries', 3)}""",
+        f"SELECT query_id, rank, {RECORD} FROM hits",
+    ),
+    "ingest_search": _logs(
+        """SELECT min(message) AS query, cast(0 AS double) AS distance, cast(100 AS bigint) AS similarity,
+        (SELECT count(*) FROM logs) AS stored_rows, '2024-02-01T08:00:00' AS uploaded_at
+        FROM logs GROUP BY protocol, action"""
+    ),
     "dashboard_totals": _with(
         f"{LOGS}, {FILES}",
         """SELECT count(*) AS total_records, (SELECT count(*) FROM inventory) AS total_files,
@@ -419,8 +429,8 @@ ORACLE: dict[str, str] = {
     "knn_search": _KNN,
     "knn_search_cells": _KNN,
     "knn_lsh": _logs(
-        """SELECT vec_id % 10 AS part, count(*) AS queries, cast(5 * count(*) AS bigint) AS hits, cast(0 AS bigint) AS wrong,
-        true AS nine_in_ten FROM embeddings GROUP BY vec_id % 10"""
+        """SELECT count(*) AS queries, cast(5 * count(*) AS bigint) AS hits, cast(0 AS bigint) AS wrong,
+        true AS nine_in_ten FROM embeddings"""
     ),
     "evidence_payload": _with(
         f"{LOGS}, {_VECTORS}, {_PAIRED}, {_nearest('paired', 5)}",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,9 @@ def replace_source(
 
 def drop_sources(spark: SparkSession, path: str, sources: Iterable[str]) -> None:
     """Delete the folders of some source files; no job runs."""
-    jvm = spark.sparkContext._jvm
     for source in sources:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source_file={_folder_name(source)}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        system, folder = _filesystem(spark, f"{path.rstrip('/')}/source_file={_folder_name(source)}")
+        system.delete(folder, True)
 
 
 def _folder_name(value: str) -> str:
@@ -66,6 +66,47 @@ def stored_sources(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("source_file").cast("string")).distinct()
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table that :func:`replace_table` writes is there; ends a swap that was interrupted."""
+    system, target = _filesystem(spark, path)
+    if system.exists(target):
+        return True
+    old = system.globStatus(_path(spark, f"{path.rstrip('/')}.old-*"))
+    if old is None or not len(old):
+        return False
+    return bool(system.rename(old[0].getPath(), target)) or bool(system.exists(target))
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Write a table anew, which ``rows`` may be made from; at any moment the old or the new one can be read or restored.
+
+    The new one is written beside the old and then takes its name. Of two writers at a time the second fails, and has
+    changed nothing.
+    """
+    spark, path = rows.sparkSession, path.rstrip("/")
+    mark = uuid.uuid4().hex
+    rows.write.parquet(f"{path}.new-{mark}")
+    system, target = _filesystem(spark, path)
+    new, old = _path(spark, f"{path}.new-{mark}"), _path(spark, f"{path}.old-{mark}")
+    had = system.exists(target)
+    if had and not system.rename(target, old):
+        system.delete(new, True)
+        raise RuntimeError(f"{path} is being replaced by another writer")
+    if system.exists(target) or not system.rename(new, target):
+        raise RuntimeError(f"{path} was replaced by another writer; its table is kept")
+    if had:
+        system.delete(old, True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    target = _path(spark, path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def append_history(reports: DataFrame, path: str) -> None:
     """Add one row per answered query to the history table."""
     history_rows(reports).write.mode("append").parquet(path)

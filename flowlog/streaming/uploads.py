@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
@@ -17,12 +19,15 @@ def watch_uploads(
     model: PipelineModel,
     checkpoint: str,
     files_per_batch: int = 1000,
+    **options,
 ) -> DataStreamWriter:
     """A stream writer that ingests each new file once it is complete.
 
     Only names are streamed; each micro-batch runs the batch ingest over its
     files, so mixed headers are fine. A batch that is repeated after a failure
-    replaces the same source files again, which makes the sink idempotent.
+    replaces the same source files again, which makes the sink idempotent. The
+    files are entered in the stored file table with the time of their batch; a file that is known keeps its first time.
+    ``options`` are those of ``ingest_csv``.
     """
     arriving = (
         spark.readStream.format("binaryFile")
@@ -37,6 +42,7 @@ def watch_uploads(
         # at most files_per_batch names
         paths = [glob_escape(row.path) for row in batch.collect()]
         if paths:
-            ingest_csv(batch.sparkSession, paths, store, model)
+            now = datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+            ingest_csv(batch.sparkSession, paths, store, model, at=now, **options)
 
     return arriving.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)

@@ -6,6 +6,7 @@ from datetime import datetime
 
 import pytest
 
+from flowlog.operators import keywords
 from flowlog.operators.compare import compare_search
 from flowlog.operators.filters import filter_logs, keyword_search
 from flowlog.operators.keywords import keyword_search_batch
@@ -88,17 +89,31 @@ def test_keywords(logs, query, expected):
     assert ids(keyword_search(logs, query)) == expected
 
 
-@pytest.mark.parametrize("compiled", [100, 3])
-def test_batch_equals_single_queries(spark, logs, compiled):
+@pytest.mark.parametrize("compiled, automaton", [(100, 0), (3, 1 << 20), (3, 0)])
+def test_batch_equals_single_queries(spark, logs, compiled, automaton, monkeypatch):
+    monkeypatch.setattr(keywords, "AUTOMATON_BYTES", automaton)
     queries = spark.createDataFrame(list(enumerate(q for q, _ in KEYWORDS)), "query_id int, query string")
+    queries = queries.unionByName(queries.selectExpr("query_id + 1000 AS query_id", "concat(query, ' ', query) AS query"))
     hits = keyword_search_batch(logs, queries, limit=2, compiled=compiled)
+    assert hits.columns == [*logs.columns, "query_id", "rank"]
     got = {}
     for r in sorted(hits.collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.id)
-    assert got == {i: e[:2] for i, (_, e) in enumerate(KEYWORDS) if e}
+    once = {i: e[:2] for i, (_, e) in enumerate(KEYWORDS) if e}
+    assert got == once | {i + 1000: e for i, e in once.items()}
 
 
-def test_many_queries_are_one_scan(spark):
+def test_terms_are_found_together():
+    sets = [("a", "abc"), ("abc", "b%c"), ("_",), ("bc",), ("x",), ("%",), ("c%a",)]
+    matcher = keywords.TermMatcher(sets)
+    found = lambda *fields: sorted(matcher.sets("\n".join(f for f in fields if f is not None), list(fields)))
+    assert found("abc") == [0, 1, 2, 3, 5]
+    assert found("ab", "c") == [2, 5]
+    assert found("", None) == [5] and found(None) == []
+    assert found("c\na") == [2, 5, 6] and found("c", "a") == [2, 5]
+
+
+def test_many_queries_are_one_scan(spark, monkeypatch):
     logs = logs_from_events(spark, "/root/testdata/sf0.001")
     queries = spark.range(2000).selectExpr(
         "id AS query_id",
@@ -115,6 +130,9 @@ def test_many_queries_are_one_scan(spark):
         want.setdefault(r.query_id, set()).add((r.rank, r.id))
     assert want and {k: v for k, v in got.items() if k < 42} == want
     assert {k % 42 for k in got} == set(want)
+    monkeypatch.setattr(keywords, "AUTOMATON_BYTES", 0)
+    joined = {(r.query_id, r.rank, r.id) for r in keyword_search_batch(logs, queries, 3).collect()}
+    assert joined == {(q, *hit) for q, hits in got.items() for hit in hits}
 
 
 def test_batch_of_blank_queries(spark, logs):

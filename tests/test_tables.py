@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlog.operators.vectors import fit_embedder
-from flowlog.plans.ingest import Store, first_evidence, ingest_csv, register_upload
+from flowlog.plans.ingest import Store, first_evidence, ingest_csv, read_files, register_upload
 from flowlog.plans.reports import dashboard, ip_detail, retrieve_evidence, semantic_search
 from flowlog.session import materialize, remove_scratch, scratch_path, shared_dir
 from flowlog.sources.events import logs_from_events
-from flowlog.sources.tables import read_table, replace_source, stored_sources
+from flowlog.functions.scalars import iso_time, stamped_name
+from flowlog.sources.tables import read_table, replace_source, replace_table, stored_sources, table_exists
 from flowlog.streaming.uploads import watch_uploads
 
 HEADER = "timestamp,src_ip,dst_ip,src_port,dst_port,protocol,bytes,action\n"
@@ -76,7 +77,7 @@ def test_ingest_search_and_reingest(spark, tmp_path):
     (folder / "one.csv").write_text(lines("1.1.1.1", 2))
     (folder / "two.csv").write_text("")
     ingest_csv(spark, str(folder), store, model, at="2024-05-01 00:00:00")
-    files = {r.filename: (r.rows, r.indexed) for r in spark.read.parquet(store.files).collect()}
+    files = {r.filename: (r.rows, r.indexed) for r in read_files(spark, store).collect()}
     assert files == {"one.csv": (2, True), "two.csv": (0, False)}
     assert first_evidence(spark, store, model, ["one.csv"]).first().evidence_ids == ["one.csv:0", "one.csv:1"]
     for path in (store.logs, store.vectors):
@@ -115,6 +116,49 @@ def test_watcher_indexes_new_files(spark, tmp_path):
     run()
     assert read_table(spark, store.logs).groupBy("source_file").count().count() == 2
     assert read_table(spark, store.vectors).count() == 5
+    files = {r.filename: (r.rows, r.indexed, r.uploaded_at is not None) for r in read_files(spark, store).collect()}
+    assert files == {"one_[1].csv": (2, True, True), "two.csv": (3, True, True)}
+
+
+def test_ingest_reports_and_reader_options(spark, tmp_path):
+    folder, store = tmp_path / "in", Store(str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "one.csv").write_text(lines("1.1.1.1", 4))
+    (folder / "two.csv").write_text(lines("2.2.2.2", 12))
+
+    def report(evidence):
+        level = F.when(F.col("evidence_count") > 5, "HIGH").otherwise("LOW")
+        text = F.to_json(F.struct(level.alias("risk_level"), F.col("query").alias("summary")))
+        return evidence.where("query_id <> 'one.csv'").select("query_id", text.alias("raw"))
+
+    with pytest.raises(ValueError, match="time"):
+        ingest_csv(spark, str(folder), store, report=report)
+    ingest_csv(spark, str(folder), store, at="2024-05-01 10:00:00", report=report, split_bytes=50)
+    rows = {r["query"].rsplit(" ", 1)[-1]: r for r in spark.read.parquet(store.history).collect()}
+    assert {n: (r.top_k, r.risk_level, r.queried_at.hour) for n, r in rows.items()} == {
+        "one.csv": (4, None, 10), "two.csv": (10, "HIGH", 10),
+    }
+    (folder / "two.csv").write_text(lines("2.2.2.2", 2) + "only one cell\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        ingest_csv(spark, str(folder), store, at="2024-05-02 10:00:00", fail_fast=True)
+
+
+def test_replaced_table_is_never_lost(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert not table_exists(spark, path)
+    replace_table(spark.range(3), path)
+    replace_table(spark.read.parquet(path).withColumn("id", F.col("id") + 1), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    # a crash between the two renames
+    (tmp_path / "t").rename(tmp_path / "t.old-1")
+    assert table_exists(spark, path) and spark.read.parquet(path).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_times_as_text(spark):
+    row = spark.sql("SELECT timestamp_ntz'2024-01-02 03:04:05.5' AS a, timestamp_ntz'2024-01-02 03:04:05' AS b, 'x y.csv' AS n")
+    got = row.select(iso_time(F.col("a")), iso_time(F.col("b")), stamped_name(F.col("n"), F.col("b"))).first()
+    assert tuple(got) == ("2024-01-02T03:04:05.500000", "2024-01-02T03:04:05", "20240102_030405_x_y.csv")
 
 
 def test_pages(spark):
