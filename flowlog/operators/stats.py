@@ -96,11 +96,14 @@ def dashboard_cube(logs: DataFrame, n: int = TOP_N) -> DataFrame:
         .otherwise("total")
     )
     value = F.coalesce("protocol", "action", "src_ip", F.col("dst_port").cast("string"))
-    port = F.col("dst_port")
+    return best_lists(counts.select(dimension.alias("dimension"), value.alias("value"), "count"), n)
+
+
+def best_lists(counts: DataFrame, n: int = TOP_N) -> DataFrame:
+    """Full lists of protocols and actions, the total, and the top ``n`` addresses and ports of ``dimension, value, count``."""
     ranked = F.col("dimension").isin("src_ip", "dst_port")
-    flat = counts.select(
-        dimension.alias("dimension"), value.alias("value"), port.alias("port"), "count"
-    ).where(~ranked | F.col("value").isNotNull())
+    port = F.when(F.col("dimension") == "dst_port", F.col("value").cast("int"))
+    flat = counts.withColumn("port", port).where(~ranked | F.col("value").isNotNull())
 
     # Two ranking steps so that no task sees all addresses: best n of each
     # slice first, then best n of those. Full lists only take part unranked.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import mark_indexed, upsert_files
 from ..operators.normalize import normalize_csv
+from ..operators.partials import partial_counts
 from ..operators.reports import auto_evidence, parse_reports
 from ..operators.vectors import embed_messages, fit_embedder, vector_records
 from ..session import materialize
@@ -45,6 +46,11 @@ class Store:
     def vectors(self) -> str:
         return f"{self.root}/vectors"
 
+    @property
+    def partials(self) -> str:
+        """Counts per source file, see ``operators.partials``."""
+        return f"{self.root}/partials"
+
     @property
     def files(self) -> str:
         return f"{self.root}/files"
@@ -78,7 +84,7 @@ def ingest_csv(
 
     Records of a file that was stored before are replaced; a file without rows
     loses its records. The vectors are built from the stored records of these
-    files only, so the files are parsed once and no other partition is read.
+    files only, so the files are parsed once and no other partition is read; so are their partial counts.
     Without a ``model`` one is fitted on the stored log table and saved. With
     the time ``at`` the files are also entered in the stored file table, and with ``report`` each gets a first report from
     its own records, whose outcome is added to the history. ``reading`` are options of ``read_log_csv``.
@@ -99,8 +105,10 @@ def ingest_csv(
         model = fit_embedder(stored, "message")
         model.write().overwrite().save(store.model)
     touched = _of_files(stored, files.where("filled"))
+    replace_source(partial_counts(touched), store.partials)
     replace_source(embed_messages(vector_records(touched), model, "document"), store.vectors)
-    drop_sources(spark, store.vectors, (row.source_file for row in empty.toLocalIterator()))
+    for path in (store.partials, store.vectors):
+        drop_sources(spark, path, (row.source_file for row in empty.toLocalIterator()))
     if at is not None:
         counted = touched.groupBy("source_file").agg(F.count("*").alias("rows"))
         none = empty.withColumn("rows", F.lit(0).cast("bigint"))

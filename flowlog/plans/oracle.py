@@ -222,6 +222,14 @@ _BYTES_TEXT = """CASE WHEN total_bytes = 0 THEN '0 B' WHEN total_bytes < 1024 TH
   WHEN total_bytes < 1048576 THEN concat(cast(cast(round(total_bytes / 1024, 1) AS decimal(20,1)) AS varchar), ' KB')
   ELSE concat(cast(cast(round(total_bytes / 1048576, 1) AS decimal(20,1)) AS varchar), ' MB') END AS bytes_text"""
 
+_CUBE = """SELECT 'protocol' AS dimension, protocol AS value, count(*) AS count FROM logs GROUP BY protocol
+        UNION ALL SELECT 'action', action, count(*) FROM logs GROUP BY action
+        UNION ALL SELECT 'total', NULL, count(*) FROM logs
+        UNION ALL (SELECT 'src_ip', src_ip, count(*) FROM logs WHERE src_ip IS NOT NULL
+                   GROUP BY src_ip ORDER BY count(*) DESC, src_ip LIMIT 10)
+        UNION ALL (SELECT 'dst_port', cast(dst_port AS varchar), count(*) FROM logs
+                   WHERE dst_port IS NOT NULL GROUP BY dst_port ORDER BY count(*) DESC, dst_port LIMIT 10)"""
+
 _HEADERS = [
     "Source IP|Source Port|Destination IP|Destination Port|Protocol|Timestamp"
     "|Total Length of Fwd Packets|Label",
@@ -349,14 +357,28 @@ ORACLE: dict[str, str] = {
     "action_dist": _dist("action"),
     "top_src_ips": _top("src_ip"),
     "top_dst_ports": _top("dst_port", f", {_SERVICE}"),
-    "dashboard_cube": _logs(
-        """SELECT 'protocol' AS dimension, protocol AS value, count(*) AS count FROM logs GROUP BY protocol
-        UNION ALL SELECT 'action', action, count(*) FROM logs GROUP BY action
-        UNION ALL SELECT 'total', NULL, count(*) FROM logs
-        UNION ALL (SELECT 'src_ip', src_ip, count(*) FROM logs WHERE src_ip IS NOT NULL
-                   GROUP BY src_ip ORDER BY count(*) DESC, src_ip LIMIT 10)
-        UNION ALL (SELECT 'dst_port', cast(dst_port AS varchar), count(*) FROM logs
-                   WHERE dst_port IS NOT NULL GROUP BY dst_port ORDER BY count(*) DESC, dst_port LIMIT 10)"""
+    "dashboard_cube": _logs(_CUBE),
+    "dashboard_partials": _with(
+        f"""{LOGS.replace("logs AS (", "whole AS (", 1)}, logs AS (
+        SELECT * FROM whole WHERE source_file <> 'capture_1.csv' OR action = 'SYN')""",
+        _CUBE,
+    ),
+    "filter_newest": _search("protocol = 'UDP' AND action = 'ACK'", 300),
+    "risk_windows": _logs(
+        """, slots AS (SELECT *, unnest([0, 1]) AS slot FROM logs WHERE src_ip IS NOT NULL AND event_ts IS NOT NULL),
+        placed AS (SELECT *, make_timestamp(cast(floor(epoch(event_ts) / 21600) - slot AS bigint) * 21600000000) AS w FROM slots),
+        ports AS (SELECT w, src_ip, dst_port, row_number() OVER
+            (PARTITION BY w, src_ip ORDER BY count(*) DESC, dst_port) AS rank
+          FROM placed WHERE dst_port IS NOT NULL GROUP BY w, src_ip, dst_port),
+        top AS (SELECT w, src_ip, bool_or(dst_port = 22) AS ssh, bool_or(dst_port = 3389) AS rdp, count(*) AS n
+          FROM ports WHERE rank <= 10 GROUP BY w, src_ip),
+        flags AS (SELECT p.w, p.src_ip AS ip, bool_or(action = 'PSH') AS has_psh, coalesce(bool_or(ssh), false) AS targets_ssh,
+          coalesce(bool_or(rdp), false) AS targets_rdp,
+          bool_or(action = 'SYN') AND coalesce(max(n), 0) >= 3 AS many_syn_ports
+          FROM placed p LEFT JOIN top t ON t.w = p.w AND t.src_ip = p.src_ip GROUP BY p.w, p.src_ip)
+        SELECT strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(w + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end",
+          ip, has_psh, targets_ssh, targets_rdp, many_syn_ports,
+          NOT (has_psh OR targets_ssh OR targets_rdp OR many_syn_ports) AS clean FROM flags"""
     ),
     "list_ips": _logs("SELECT src_ip AS ip, count(*) AS count FROM logs WHERE src_ip IS NOT NULL GROUP BY src_ip"),
     "ip_profile": _logs(

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import action_class, row_severity
 from ..functions.scalars import iso_time
-from ..operators import catalog, compare, filters, ips, keywords, knn, preview, reports, stats, vectors
+from ..operators import catalog, compare, filters, ips, keywords, knn, partials, preview, reports, stats, vectors
 from ..operators.normalize import normalize_csv
 from ..session import materialize, scratch_path
 from ..sources import csv_files
 from ..sources.csv_files import read_log_csv
 from ..sources.events import logs_from_events
 from ..sources.tables import append_history, read_table, replace_source
+from ..streaming.risk import risk_by_window
 from . import derived
 from .ingest import Store, ingest_csv, read_files
 from .reports import semantic_search
@@ -306,6 +307,28 @@ def _ingest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.crossJoin(F.broadcast(files))  # one row
 
 
+def _replaced(logs: DataFrame) -> DataFrame:
+    """The records after one file was uploaded again, with its SYN records only."""
+    return logs.where((F.col("source_file") != "capture_1.csv") | (F.col("action") == "SYN"))
+
+
+def _dashboard_partials(logs: DataFrame) -> DataFrame:
+    """The cube of stored counts, after those of one file were replaced."""
+    path = scratch_path(logs.sparkSession, "partials")
+    replace_source(partials.partial_counts(logs), path)
+    replace_source(partials.partial_counts(_replaced(logs).where(F.col("source_file") == "capture_1.csv")), path)
+    return partials.cube_of_partials(read_table(logs.sparkSession, path))
+
+
+def _filter_newest(logs: DataFrame) -> DataFrame:
+    return partials.filter_newest(logs, materialize(partials.partial_counts(logs)), 300, protocol="udp", action="ACK")
+
+
+def _risk_windows(logs: DataFrame) -> DataFrame:
+    flags = risk_by_window(logs.withColumn("event_time", F.col("event_ts").cast("timestamp")), "12 hours", "6 hours")
+    return flags.select(_clock("start"), _clock("end"), *flags.columns[2:])
+
+
 def _knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir)
     return _hits(knn.knn_search(stored, derived.vector_queries(spark, sf_dir)))
@@ -425,6 +448,9 @@ QUERIES: dict[str, Query] = {
     "top_src_ips": _over_logs(stats.top_src_ips),
     "top_dst_ports": _over_logs(stats.top_dst_ports),
     "dashboard_cube": _over_logs(stats.dashboard_cube),
+    "dashboard_partials": _over_logs(_dashboard_partials),
+    "filter_newest": _over_logs(_filter_newest, *RECORD),
+    "risk_windows": _over_logs(_risk_windows),
     "list_ips": _over_logs(stats.list_ips),
     "ip_profile": _over_logs(ips.ip_profile),
     "ip_actions": _over_logs(ips.ip_actions),

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlog.operators.vectors import fit_embedder
+from flowlog.operators.partials import cube_of_partials
+from flowlog.operators.stats import dashboard_cube
 from flowlog.plans.ingest import Store, first_evidence, ingest_csv, read_files, register_upload
 from flowlog.plans.reports import dashboard, ip_detail, retrieve_evidence, semantic_search
 from flowlog.session import materialize, remove_scratch, scratch_path, shared_dir
@@ -82,6 +84,8 @@ def test_ingest_search_and_reingest(spark, tmp_path):
     assert first_evidence(spark, store, model, ["one.csv"]).first().evidence_ids == ["one.csv:0", "one.csv:1"]
     for path in (store.logs, store.vectors):
         assert [i for _, i in stored(spark, path)] == ["one.csv:0", "one.csv:1"]
+    cube = {tuple(r) for r in cube_of_partials(read_table(spark, store.partials)).collect()}
+    assert cube == {tuple(r) for r in dashboard_cube(read_table(spark, store.logs)).collect()}
 
     questions = spark.createDataFrame([("q", "SYN from 1.1.1.1 port 22")], "query_id string, query string")
     vectors = read_table(spark, store.vectors)
