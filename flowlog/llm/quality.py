@@ -5,9 +5,10 @@ hashed word counts go through one tanh layer. Gated attention weighs the passage
 and the document's score is a logistic function of the weighted sum. Encoder, attention and output are learned together from
 document labels only.
 
-The model is fitted by the driver on at most ``TRAIN_DOCS`` labelled documents, those with the least hash, with at most
-``TRAIN_PASSAGES`` evenly spaced passages each; only their passages' features are gathered. Scoring takes every passage of
-every document in tasks.
+The model is fitted by the driver on at most ``TRAIN_DOCS`` labelled documents, those with the least hash, and at most
+``TRAIN_PASSAGES`` passages: a document that is too long for what is left of these is passed over, all others are learned from
+whole. Only their passages' features are gathered. Scoring takes every passage of every document in tasks, a long text block by
+block.
 
 Null and empty texts are a bag of one passage without words. If no labels, or only one class, can be learned from, the
 score is the share of label 1 among them (0.5 without any). Repeated labels of a document count once, as the higher one.
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .batches import slices, texts
-from .columns import held_out
+from .columns import held_out, word_count
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 64
+TRAIN_PASSAGES = 100_000  # of all these together
 HASHED = 64
+BLOCK_BYTES = 2 << 20
 HIDDEN = 24
 ATTENTION = 12
 EPOCHS = 40
@@ -60,8 +62,35 @@ _STEP = np.random.default_rng(8).integers(1, 2**63, 64, np.uint64) | np.uint64(1
 MEASURES = 18
 
 
+def _blocks(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about ``BLOCK_BYTES``, of whole passages each but the last."""
+    at, size = 0, BLOCK_BYTES
+    while len(text) - at > size:
+        space = _CLASS[np.frombuffer(text, np.uint8, size, at)] == _SPACE
+        begin = np.flatnonzero(~space & np.append(True, space[:-1]))
+        whole = (len(begin) - 1) // PASSAGE_WORDS * PASSAGE_WORDS
+        if whole <= 0:
+            size *= 2  # very long words
+            continue
+        yield text[at : at + begin[whole]]
+        at, size = at + int(begin[whole]), BLOCK_BYTES
+    yield text[at:]
+
+
 def passage_features(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of all texts, and the index of each text's first passage."""
+    if all(len(value) <= BLOCK_BYTES for value in values):
+        return _features(values)
+    parts, first, n = [], [], 0
+    for value in values:
+        first.append(n)
+        for block in _blocks(value):
+            parts.append(_features([block])[0])
+            n += len(parts[-1])
+    return np.concatenate(parts), np.array(first, np.int64)
+
+
+def _features(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n" + b"\n".join(values) + b"\n", np.uint8)
     kinds = _CLASS[data]
     space = kinds == _SPACE
@@ -206,17 +235,13 @@ class AttentionModel:
         return self
 
 
-def _bags(rows: DataFrame, most: int) -> DataFrame:
-    """``label, features`` (float32 bytes) of ``label, text``."""
+def _bags(rows: DataFrame) -> DataFrame:
+    """``hash, label, features`` (float32 bytes) of ``hash, label, text``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, first = passage_features(texts(batch, "text"))
-            ends = np.append(first[1:], len(x))
-            bags = []
-            for a, b in zip(first, ends, strict=True):
-                chosen = np.unique(np.linspace(a, b - 1, min(most, b - a)).round().astype(np.int64))
-                bags.append(x[chosen].tobytes())
+            bags = [x[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(x)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("hash"), batch.column("label"), pa.array(bags, pa.binary())],
                 ["hash", "label", "features"],
@@ -225,6 +250,21 @@ def _bags(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(encode, "hash bigint, label int, features binary")
 
 
+def _sample(rows: DataFrame, most_docs: int, most_passages: int) -> DataFrame:
+    """``hash, label, text`` of whole documents: the first ones by hash, as many as the bounds allow; equal rows once."""
+    passages = F.greatest(F.lit(1), F.ceil(word_count("text") / PASSAGE_WORDS))
+    own = F.xxhash64("text")
+    sizes = rows.select("hash", own.alias("own"), passages.alias("n")).distinct().orderBy("hash", "own", "n").limit(most_docs)
+    chosen, left = [], most_passages
+    for row in sizes.collect():  # most_docs at most
+        if row.n <= left:  # a document too long for the rest of the sample is passed over
+            left -= row.n
+            chosen.append((row.hash, row.own))
+    table = rows.sparkSession.createDataFrame(chosen, "hash2 bigint, own2 bigint")
+    same = (F.col("hash") == F.col("hash2")) & (own == F.col("own2"))
+    return rows.join(F.broadcast(table), same).groupBy("hash", "label", own.alias("own")).agg(F.first("text").alias("text"))
+
+
 def learn_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -241,11 +281,11 @@ def learn_quality(
     known = known.select("*", rank.alias("hash")).orderBy("hash", "key2").limit(most_docs)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.join(F.broadcast(known), F.col("key") == F.col("key2")).select("hash", "label", "text")
-    gathered = _bags(rows, most_passages).toPandas()
+    gathered = _bags(_sample(rows, most_docs, most_passages).select("hash", "label", "text")).toPandas()
     if not len(gathered):
         return 0.5
     # the order of rows must not depend on how tasks end
-    gathered = gathered.sort_values(["hash", "features"], ignore_index=True).head(most_docs)
+    gathered = gathered.sort_values(["hash", "features"], ignore_index=True)
     y = gathered.label.to_numpy(float)
     if y.min() == y.max():
         return float(y.mean())
