@@ -358,6 +358,14 @@ ORACLE: dict[str, str] = {
     "top_src_ips": _top("src_ip"),
     "top_dst_ports": _top("dst_port", f", {_SERVICE}"),
     "dashboard_cube": _logs(_CUBE),
+    "frequent_sources": _logs(
+        """SELECT src_ip, count(*) AS count FROM logs WHERE src_ip IS NOT NULL GROUP BY src_ip
+        ORDER BY count DESC, src_ip LIMIT 10"""
+    ),
+    "frequent_contacts": _logs(
+        """SELECT concat(src_ip, ' > ', dst_ip, coalesce(concat(' > ', cast(dst_port AS varchar)), '')) AS contact, count(*) AS count
+        FROM logs WHERE src_ip IS NOT NULL AND dst_ip IS NOT NULL GROUP BY contact ORDER BY count DESC, contact LIMIT 20"""
+    ),
     "dashboard_partials": _with(
         f"""{LOGS.replace("logs AS (", "whole AS (", 1)}, logs AS (
         SELECT * FROM whole WHERE source_file <> 'capture_1.csv' OR action = 'SYN')""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import action_class, row_severity
 from ..functions.scalars import iso_time
-from ..operators import catalog, compare, filters, ips, keywords, knn, partials, preview, reports, stats, vectors
+from ..operators import catalog, compare, filters, frequent, ips, keywords, knn, partials, preview, reports, stats, vectors
 from ..operators.normalize import normalize_csv
 from ..session import materialize, scratch_path
 from ..sources import csv_files
@@ -324,6 +324,17 @@ def _filter_newest(logs: DataFrame) -> DataFrame:
     return partials.filter_newest(logs, materialize(partials.partial_counts(logs)), 300, protocol="udp", action="ACK")
 
 
+def _frequent_sources(logs: DataFrame) -> DataFrame:
+    """The top source addresses by two passes over a bounded number of counters; fewer than there are addresses."""
+    return frequent.most_frequent(logs, "src_ip", counters=40)
+
+
+def _frequent_contacts(logs: DataFrame) -> DataFrame:
+    """Pairs of addresses that talk most, ports included."""
+    talk = F.concat_ws(" > ", "src_ip", "dst_ip", F.col("dst_port").cast("string"))
+    return frequent.most_frequent(logs.where("src_ip is not null and dst_ip is not null").select(talk.alias("contact")), "contact", 20)
+
+
 def _risk_windows(logs: DataFrame) -> DataFrame:
     flags = risk_by_window(logs.withColumn("event_time", F.col("event_ts").cast("timestamp")), "12 hours", "6 hours")
     return flags.select(_clock("start"), _clock("end"), *flags.columns[2:])
@@ -448,6 +459,8 @@ QUERIES: dict[str, Query] = {
     "top_src_ips": _over_logs(stats.top_src_ips),
     "top_dst_ports": _over_logs(stats.top_dst_ports),
     "dashboard_cube": _over_logs(stats.dashboard_cube),
+    "frequent_sources": _over_logs(_frequent_sources),
+    "frequent_contacts": _over_logs(_frequent_contacts),
     "dashboard_partials": _over_logs(_dashboard_partials),
     "filter_newest": _over_logs(_filter_newest, *RECORD),
     "risk_windows": _over_logs(_risk_windows),

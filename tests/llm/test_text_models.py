@@ -44,6 +44,68 @@ def test_quality_gradient_matches_differences():
         assert slope[name][i] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-7)
 
 
+def test_language_decision_is_that_of_plain_sets(spark):
+    """Each language's grams as sets, without filters: the language that holds most grams of a text, and its share."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and text is not null").collect()
+    learn = [r for r in rows if crc_fold(r.doc_id, 3) != 1]
+    grams = lambda text: [g for g in zip(*(("\n" + text.lower() + "\n")[i:] for i in range(3)), strict=False) if g[1].isalpha()]
+    kind = lambda g: tuple(c if c.isalpha() else "" for c in g)
+    counts: dict = {}
+    for r in learn:
+        counts.setdefault(r.lang, Counter()).update(map(kind, grams(r.text)))
+    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    top: dict = {}
+    for c in share.values():
+        for g, x in c.items():
+            top[g] = max(top.get(g, 0), x if x >= langid.MIN_SHARE else 0)
+    sets = {lang: {g for g, x in c.items() if x >= max(langid.MIN_SHARE, langid.MIN_RATIO * top[g])} for lang, c in share.items()}
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.language_id(docs).collect()}
+    for r in rows:
+        own = [kind(g) for g in grams(r.text)]
+        if not own:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        held = {lang: sum(g in s for g in own) for lang, s in sorted(sets.items())}
+        best, total = max(held.values()), sum(held.values())
+        # the filters' corrected counts stray by a few grams
+        assert held[got[r.doc_id].lang_pred] >= best - 0.02 * len(own) - 1
+        if len(own) > 300:
+            assert got[r.doc_id].score == pytest.approx(best / total, abs=0.02)
+
+
+def test_quality_score_is_the_formula():
+    """Gated attention over passages, one by one and in plain Python."""
+    rng = np.random.default_rng(4)
+    model = quality.AttentionModel(5)
+    x = rng.normal(size=(7, 5))
+    w = {k: v.tolist() for k, v in model.w.items()}
+    assert {k: np.shape(v) for k, v in w.items()} == {k: v.shape for k, v in model.w.items()}
+    scores = model.forward(x, np.array([0, 3]))[0]
+    alone = [model.forward(part, np.array([0]))[0][0] for part in (x[:3], x[3:])]
+    assert scores == pytest.approx(alone)
+    # the order of passages does not matter, a copy of all of them neither
+    assert model.forward(x[:3][::-1], np.array([0]))[0][0] == pytest.approx(alone[0])
+    assert model.forward(np.concatenate((x[:3], x[:3])), np.array([0]))[0][0] == pytest.approx(alone[0])
+
+
+def test_long_texts_have_the_passages_of_their_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(rng.choice(list("abcXY12,."), rng.integers(1, 9))) for _ in range(5000)).encode()
+    whole, _ = quality.passage_features([text])
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 3000)
+    parts, first = quality.passage_features([b"short one", text, b"", b"x" * 9000])
+    assert first.tolist() == [0, 1, 1 + len(whole), 2 + len(whole)]
+    assert np.allclose(parts[1 : 1 + len(whole)], whole, atol=1e-5)
+
+
+def test_quality_learns_from_whole_documents(spark):
+    rows = [(i, 1, f"{i} " * (64 * n)) for i, n in enumerate([5, 200, 3, 4, 9])] + [(0, 1, "0 " * 320)]
+    docs = spark.createDataFrame(rows, "hash long, label int, text string")
+    sample = quality._sample(docs, 4, 20).collect()
+    assert sorted((r.hash, len(r.text.split()) // 64) for r in sample) == [(0, 5), (2, 3), (3, 4)]
+
+
 def test_quality_of_awkward_rows(spark):
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(awkward(spark), labels).collect()
@@ -105,6 +167,38 @@ def test_rules_match_brute_force(spark):
     assert rules.quality_rules(empty(spark)).count() == 0
 
 
+def test_bands_decide_on_the_given_documents(spark):
+    """The verdict of every document, computed anew; labelled junk goes that the base rules keep, good documents stay."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = rules.quality_rules(docs).join(docs.select("doc_id", "text"), "doc_id").join(labels, "doc_id", "left").collect()
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for r in rows:
+        raw = (r.text or "").encode()
+        size = len(raw)
+        kept = not r.base_failed
+        if kept:
+            ratio = size / len(pack(raw))
+            least = 0.0
+            for limit, low in sorted(rules.LEAST, reverse=True):
+                least = low if size < limit else least
+            at = math.log2(size)
+            above = next((i for i, (x, _) in enumerate(rules.GREATEST) if x >= at), None)
+            if above in (0, None):
+                most = rules.GREATEST[0 if above == 0 else -1][1]
+            else:
+                (x0, y0), (x1, y1) = rules.GREATEST[above - 1 : above + 1]
+                most = y0 + (y1 - y0) * (at - x0) / (x1 - x0)
+            parts = [raw[i * 1024 : (i + 1) * 1024] for i in range(size // 1024)]
+            if parts:
+                parts[-1] += raw[len(parts) * 1024 :]
+            bad = [p for p in parts if not 1.45 <= len(p) / len(pack(p)) <= 2.4]
+            kept = least <= ratio <= most and 5 * len(bad) <= len(parts)
+        assert r.kept == kept, r.doc_id
+    passed = [r for r in rows if not r.base_failed]
+    junk, good = ([r.kept for r in passed if r.quality == label] for label in (0, 1))
+    assert len(junk) > 15 and np.mean(junk) < 0.45 and np.mean(good) == 1
+
+
 def test_bands_reject_repetition_and_noise():
     compressor = zstandard.ZstdCompressor(level=rules.LEVEL)
     rng = np.random.default_rng(5)
@@ -140,11 +234,14 @@ def test_bands_reject_mixed_and_encoded_text():
         assert not passes(b"\n".join(prose)[: n - random_part] + b"\n" + _noise(rng, random_part))
 
 
-@pytest.mark.parametrize("shares", [(1e-6, 1e-5), (2e-3, 5e-3)])
-def test_language_model_matches_brute_force(spark, shares, monkeypatch):
-    monkeypatch.setattr(lm, "SHARD", 50)
+@pytest.mark.parametrize(
+    "shares, pair_share, shard", [((1e-6, 1e-5), 1e-5, 10**6), ((2e-3, 5e-3), 1e-3, 5000), ((2e-3, 1e-5), 1e-2, 900), ((1.0, 1e-5), 1.0, 5000)]
+)
+def test_language_model_matches_brute_force(spark, shares, pair_share, shard):
     frequent, context = shares
-    got = rows_by_id(lm.score_documents(awkward(spark), frequent_share=frequent, context_share=context))
+    got = rows_by_id(
+        lm.score_documents(awkward(spark), frequent_share=frequent, context_share=context, pair_share=pair_share, shard=shard)
+    )
     rows = [(i, [*words_of((t or "").lower() if (t or "").isascii() else _ascii_lower(t)), None]) for i, t, *_ in awkward_rows()]
     counts = Counter(w for i, tokens in rows if crc_fold(i, 7) != 2 for w in tokens)
     total, words = sum(counts.values()), len(counts)
