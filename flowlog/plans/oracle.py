@@ -456,6 +456,10 @@ ORACLE: dict[str, str] = {
         """SELECT 256 AS size, cast(1.0 AS double) AS norm, cast(1 AS bigint) AS vectors, count(*) AS count
         FROM logs GROUP BY message"""
     ),
+    "embed_latent": _logs(
+        """SELECT 32 AS size, cast(1.0 AS double) AS norm, cast(1 AS bigint) AS vectors, count(*) AS count
+        FROM logs GROUP BY message"""
+    ),
     "knn_search": _KNN,
     "knn_search_cells": _KNN,
     "knn_lsh": _logs(

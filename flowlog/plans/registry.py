@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import action_class, row_severity
 from ..functions.scalars import iso_time
-from ..operators import catalog, compare, filters, frequent, ips, keywords, knn, partials, preview, reports, stats, vectors
+from ..operators import catalog, compare, filters, frequent, ips, keywords, knn, latent, partials, preview, reports, stats, vectors
 from ..operators.normalize import normalize_csv
 from ..session import materialize, scratch_path
 from ..sources import csv_files
@@ -275,6 +275,19 @@ def _embed_messages(logs: DataFrame) -> DataFrame:
     ).drop("document")
 
 
+def _embed_latent(logs: DataFrame) -> DataFrame:
+    """Size, length and number of the vectors of each message, in the reduced space of all messages."""
+    texts = logs.select(F.col("message").alias("document"))
+    embedded = latent.embed_latent(texts, latent.fit_latent(texts, rank=32, size=1024))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return embedded.groupBy("document").agg(
+        F.max(F.size("embedding")).alias("size"),
+        F.round(F.sqrt(F.max(squares)), 3).alias("norm"),
+        F.count_distinct("embedding").alias("vectors"),
+        F.count("*").alias("count"),
+    ).drop("document")
+
+
 def _hits(found: DataFrame) -> DataFrame:
     return found.select(
         "query_id",
@@ -475,6 +488,7 @@ QUERIES: dict[str, Query] = {
     "row_severity": _over_logs(_row_severity),
     "compare_search": _compare_search,
     "embed_messages": _over_logs(_embed_messages),
+    "embed_latent": _over_logs(_embed_latent),
     "knn_search": _knn_search,
     "knn_search_cells": _knn_cells,
     "knn_lsh": _knn_lsh,
