@@ -466,6 +466,10 @@ ORACLE: dict[str, str] = {
         """SELECT count(*) AS queries, cast(5 * count(*) AS bigint) AS hits, cast(0 AS bigint) AS wrong,
         true AS nine_in_ten FROM embeddings"""
     ),
+    "knn_codes": _logs(
+        """SELECT count(*) AS queries, cast(5 * count(*) AS bigint) AS hits, cast(0 AS bigint) AS wrong,
+        true AS nine_in_ten FROM embeddings"""
+    ),
     "evidence_payload": _with(
         f"{LOGS}, {_VECTORS}, {_PAIRED}, {_nearest('paired', 5)}",
         """SELECT query_id, query_id AS query, cast(count(*) AS int) AS evidence_count,

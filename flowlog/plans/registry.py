@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import action_class, row_severity
 from ..functions.scalars import iso_time
-from ..operators import catalog, compare, filters, frequent, ips, keywords, knn, latent, partials, preview, reports, stats, vectors
+from ..operators import catalog, codes, compare, filters, frequent, ips, keywords, knn, latent, partials, preview, reports, stats, vectors
 from ..operators.normalize import normalize_csv
 from ..session import materialize, scratch_path
 from ..sources import csv_files
@@ -371,6 +371,19 @@ def _knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_report(knn.knn_lsh(stored, queries), stored, queries)
 
 
+def _knn_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the search over codes that are stored by source file; two files were encoded with what the others taught."""
+    stored = derived.stored_vectors(logs_of(spark, sf_dir), sf_dir).select("id", "embedding", F.col("metadata.source").alias("source_file"))
+    stored = materialize(stored)
+    late = F.col("source_file").isin("capture_2.csv", "capture_3.csv")
+    model = codes.fit_codes(stored.where(~late))
+    path = scratch_path(spark, "codes")
+    replace_source(codes.encode_vectors(stored.where(~late), model), path)
+    replace_source(codes.encode_vectors(stored.where(late), model), path)
+    queries = materialize(derived.vector_queries(spark, sf_dir))
+    return recall_report(codes.knn_codes(read_table(spark, path), queries, model), stored, queries)
+
+
 def recall_report(hits: DataFrame, stored: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Hits, false distances and recall of an approximate search."""
     own = queries.select("query_id", F.col("embedding").alias("asked"))
@@ -492,6 +505,7 @@ QUERIES: dict[str, Query] = {
     "knn_search": _knn_search,
     "knn_search_cells": _knn_cells,
     "knn_lsh": _knn_lsh,
+    "knn_codes": _knn_codes,
     "evidence_payload": _evidence_payload,
     "auto_evidence": _auto_evidence,
     "parse_reports": _over_logs(_parse_reports),
