@@ -193,31 +193,29 @@ def with_thresholds(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     return rows.alias("s").join(_small(thresholds.alias("m"), thresholds.count()), same)
 
 
+_LOTS = 1 << 20
+
+
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **mix: object) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``: a row for each time that one is taken.
+    """The documents of the mix with the columns of ``docs``: a row for each time that one is taken, always whole.
 
-    The document at a source's threshold is cut after the words that are taken of it; a column ``n_chars`` then follows.
+    The document at a source's threshold is taken if at least half of its words are needed. Of rows that share the threshold,
+    such as those with one id, each is taken or not by a hash of its text and place, so that the needed share of them is.
+    Documents without words are in no mix.
     """
-    own = [f"s.__row.`{name}`" for name in docs.columns]
     rows = docs.select(
         F.struct("*").alias("__row"),
         F.col(source).cast("string").alias("source"),
         word_count(text).alias("size"),
         mix_hash(key).alias("hash"),
+        F.xxhash64(F.col(text).cast("string"), F.monotonically_increasing_id()).alias("lot"),
     )
     thresholds = mix_thresholds(materialize(rows.select("source", "size", "hash")), **mix)
-    chosen = with_thresholds(rows, thresholds).withColumn("taken", taken_tokens(F.col("s.size"), F.col("s.hash")))
-    size = F.col("s.size")
-    passes = F.when(size > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / size)), lambda i: F.least(size, F.col("taken") - i * size)))
-    words = F.explode(F.filter(passes, lambda n: n > 0))
-    chosen = chosen.select(*[F.col(name).alias(column) for name, column in zip(own, docs.columns, strict=True)], size.alias("__size"), words.alias("__words"))
-    cut = F.col("__words") < F.col("__size")
-    # a chunk is a word with the blanks after it; blanks before the first word are a chunk of their own
-    chunks = F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col(text).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    start = F.array_join(F.slice(chunks, F.lit(1), (F.col("__words") + lead).cast("int")), "")
-    new_text = F.when(cut, start).otherwise(F.col(text))
-    out = {text: new_text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(cut, F.length(start)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return chosen.select(*[out.get(name, F.col(f"`{name}`")).alias(name) for name in docs.columns])
+    size, left, tied = F.col("s.size"), F.col("m.left"), F.col("m.tied")
+    lot = F.pmod(F.col("s.lot"), F.lit(_LOTS))
+    needed = F.when(size == tied, 2 * left >= tied).otherwise(lot.cast("double") / _LOTS * tied < left)
+    hashed, threshold = F.col("s.hash"), F.col("m.threshold")
+    once_more = (hashed < threshold) | ((hashed == threshold) & needed)
+    copies = F.when(size > 0, F.col("m.copies") + F.coalesce(once_more, F.lit(False)).cast("bigint")).otherwise(0)
+    taken = with_thresholds(rows, thresholds).select(F.col("s.__row").alias("row"), copies.cast("int").alias("copies"))
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

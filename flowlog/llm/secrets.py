@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Texts are matched in one pass of built-in expressions. Assignments, access keys and long hex runs are always reported.
-A fourth, looser kind of candidate (long mixed tokens) is decided by ownership: the hashes of all candidates are
-aggregated by distinct repository and owner, and a candidate that ``WIDE_OWNERS`` owners or more share is a widely copied
-example, one that fewer share is an owner-specific credential that looks live. Only the latter is added to the spans.
+Looser kinds of candidates (long mixed tokens, passwords in URLs, private key blocks, long runs of capital hex digits) are
+decided by ownership: the hashes of all candidates are aggregated by distinct repository and owner. A candidate that
+``WIDE_OWNERS`` owners or more share, or ``WIDE_REPOS`` repositories of however few owners, is a widely copied example; any other is
+an owner-specific credential that looks live. Only the latter is added to the spans.
 
 Null and empty texts have no spans. A null repository or owner counts as one of its own. Spans count code points; the end
 is exclusive. Repeated rows are scanned each; for ownership they are one repository and owner. No rows give no rows.
@@ -20,15 +21,21 @@ from ..session import materialize
 from .columns import text_or_empty
 
 # fixed values: the patterns and least lengths of the reported kinds, in the order of their rank
-KINDS = ("assign", "access", "hex", "token")
+KINDS = ("assign", "access", "hex", "token", "url", "block", "key")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
-#: The looser kind: 20 characters or more in one run, with a digit, a capital and a small letter.
+BASE_KINDS = 3
+#: Looser kinds. Tokens: 20 characters or more in one run, with a digit, a capital and a small letter.
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
-WIDE_OWNERS = 3
+URL = r"://[^\s/:@]{1,256}:([^\s/:@]{1,256})(?=@)"
+BLOCK = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----([^-]{1,65536}-----END)"
+#: Runs of capital hex digits, which may be the value of an assignment, as those of small ones may.
+KEY = r"(?<![A-Za-z0-9])(?=[A-F]*[0-9])[0-9A-F]{24,}(?![A-Za-z0-9])"
+WIDE_OWNERS, WIDE_REPOS = 3, 6
+_CHUNK = 256
 #: A table of live candidates is sent to all tasks up to this many documents.
 MAX_BROADCAST_DOCS = 5_000
 REDACTED = "[redacted]"
@@ -39,33 +46,47 @@ _SPAN = "struct<start:int,kind:int,end:int,chars:int,hash:bigint>"
 def _matches(text: Column, kind: int, pattern: str, group: int, keep: Callable[[Column], Column]) -> Column:
     """Spans of the matches whose value passes ``keep``; ``chars`` is the length of the value, which ends the match.
 
-    The text between matches and the matches themselves, by turns, give the positions as a running length.
+    The text between matches and the matches themselves, by turns, give the positions as running lengths: of chunks of
+    matches first, then inside each, so that the work grows little faster than the number of matches.
     """
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pairs = F.zip_with(whole, value, lambda w, v: F.struct(w.alias("whole"), v.alias("value")))
-    steps = F.zip_with(gaps, pairs, lambda g, p: F.struct(g.alias("gap"), p.alias("hit")))
+    hits = F.zip_with(whole, value, lambda w, v: F.struct(F.length(w).alias("whole"), v.alias("value")))
+    lengths = F.slice(F.transform(gaps, F.length), F.lit(1), F.size(hits))
+    steps = F.zip_with(lengths, hits, lambda g, h: F.struct(g.alias("gap"), h["whole"].alias("whole"), h["value"].alias("value")))
     none = F.array().cast(f"array<{_SPAN}>")
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]["whole"]), F.lit(0))
-        found = x["hit"]["value"]
+        start = state["at"] + x["gap"]
+        end = start + x["whole"]
         span = F.struct(
             start.alias("start"),
             F.lit(kind).alias("kind"),
             end.alias("end"),
-            F.length(found).alias("chars"),
-            F.xxhash64(found).alias("hash"),
+            F.length(x["value"]).alias("chars"),
+            F.xxhash64(x["value"]).alias("hash"),
         ).cast(_SPAN)
-        spans = F.when(keep(found), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        spans = F.when(keep(x["value"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.cast("int").alias("at"), spans.alias("spans"))
 
-    folded = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda state: state["spans"]
-    )
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    def chunk(i: Column) -> Column:
+        return F.slice(steps, i * _CHUNK + 1, F.lit(_CHUNK))
+
+    def placed(totals: Column) -> Column:
+        """Where each chunk begins."""
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        grow = lambda st, n: F.struct((st["at"] + n).alias("at"), F.concat(st["starts"], F.array(st["at"])).alias("starts"))
+        return F.aggregate(totals, state, grow, lambda st: st["starts"])
+
+    def spans_of(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("spans")), step, lambda st: st["spans"])
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")), chunk)
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + x["whole"])
+    many = F.flatten(F.zip_with(parts, placed(F.transform(parts, total)), spans_of))
+    few = spans_of(steps, F.lit(0))
+    return F.when(text.rlike(pattern), F.when(F.size(steps) > _CHUNK, many).otherwise(few)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -84,10 +105,23 @@ def base_spans(text: Column) -> Column:
 
 
 def loose_spans(text: Column, base: Column) -> Column:
-    """Candidates of the looser kind that touch no base span."""
+    """Candidates of the looser kinds; all but keys touch no base span, and no key is a base span."""
     mixed = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]")
-    overlaps = lambda t: F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return F.filter(_matches(text, 3, TOKEN, 0, mixed), lambda t: ~overlaps(t))
+    any_ = lambda v: F.length(v) > 0
+    touches = lambda b, t: (b["start"] < t["end"]) & (t["start"] < b["end"])
+    apart = F.concat(_matches(text, 3, TOKEN, 0, mixed), _matches(text, 4, URL, 1, any_), _matches(text, 5, BLOCK, 1, any_))
+    apart = F.filter(apart, lambda t: ~F.exists(base, lambda b: touches(b, t)))
+    capital = lambda v: v.rlike("[A-F]")
+    assign = lambda b: b["kind"] == 0
+    keys = F.filter(
+        _matches(text, 6, KEY, 0, capital), lambda t: ~F.exists(base, lambda b: ~assign(b) & touches(b, t))
+    )
+    return F.concat(apart, keys)
+
+
+def looks_live(owners: Column, repos: Column, wide_owners: int, wide_repos: int) -> Column:
+    """Whether so few owners and repositories share a candidate that it is no copied example."""
+    return (owners < wide_owners) & (repos < wide_repos)
 
 
 def _joined(spans: Column) -> Column:
@@ -116,7 +150,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def _scanned(docs: DataFrame, key: str, text: str, repo: list[str], owner: str) -> DataFrame:
-    """A narrow, stored row per document: ``id, key, repo, owner, base, loose``."""
+    """A narrow, stored row per document: ``id, key, repo, owner, digest, base, loose``."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("id"),
         F.col(key).alias("key"),
@@ -126,7 +160,8 @@ def _scanned(docs: DataFrame, key: str, text: str, repo: list[str], owner: str)
     )
     rows = rows.select("id", "key", "repo", "owner", "text", base_spans(F.col("text")).alias("base"))
     loose = loose_spans(F.col("text"), F.col("base"))
-    return materialize(rows.select("id", "key", "repo", "owner", "base", loose.alias("loose")))
+    digest = F.xxhash64("text").alias("digest")
+    return materialize(rows.select("id", "key", "repo", "owner", digest, "base", loose.alias("loose")))
 
 
 def find_secrets(
@@ -136,6 +171,7 @@ def find_secrets(
     repo: tuple[str, ...] = ("source", "lang"),
     owner: str = "source",
     wide_owners: int = WIDE_OWNERS,
+    wide_repos: int = WIDE_REPOS,
 ) -> DataFrame:
     """Spans and ownership of every row of ``docs``.
 
@@ -148,8 +184,8 @@ def find_secrets(
     uses = uses.select("id", "repo", "owner", "span", F.col("span.hash").alias("hash"))
     shared = ownership(uses).withColumnRenamed("hash", "hash2")
     judged = uses.join(shared, F.col("hash") == F.col("hash2"))
-    live = F.col("owners") < wide_owners
-    loose = F.col("span.kind") == len(KINDS) - 1
+    live = looks_live(F.col("owners"), F.col("repos"), wide_owners, wide_repos)
+    loose = F.col("span.kind") >= BASE_KINDS
     verdicts = judged.groupBy("id").agg(
         F.count(F.when(live, 1)).alias("n_live"),
         F.count(F.when(~live & ~loose, 1)).alias("n_copied"),
@@ -181,21 +217,23 @@ def redact_secrets(
     repo: tuple[str, ...] = ("source", "lang"),
     owner: str = "source",
     wide_owners: int = WIDE_OWNERS,
+    wide_repos: int = WIDE_REPOS,
 ) -> DataFrame:
     """``docs`` with the value of every span of :func:`find_secrets` replaced; a column ``n_chars`` follows.
 
     Base spans go whoever owns them, looser candidates only if they look live. Texts without spans stay as they are.
     """
     rows = _scanned(docs, key, text, list(repo), owner)
-    loose = rows.select("key", "repo", "owner", F.explode("loose").alias("span"))
-    loose = loose.select("key", "repo", "owner", F.col("span.hash").alias("hash"))
-    live = ownership(loose).where(F.col("owners") < wide_owners).select(F.col("hash").alias("hash2"))
-    live = loose.join(live, F.col("hash") == F.col("hash2"))
-    live = materialize(live.groupBy("key").agg(F.collect_set("hash").alias("live")).withColumnRenamed("key", "key2"))
-    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    loose = rows.select("digest", "repo", "owner", F.explode("loose").alias("span"))
+    loose = loose.select("digest", "repo", "owner", F.col("span.hash").alias("hash"))
+    live = ownership(loose.drop("digest")).where(looks_live(F.col("owners"), F.col("repos"), wide_owners, wide_repos))
+    live = loose.join(live.select(F.col("hash").alias("hash2")), F.col("hash") == F.col("hash2"))
+    # by text, not by id: rows without an id, or with one id, have lists of their own
+    live = materialize(live.groupBy("digest").agg(F.collect_set("hash").alias("live")).withColumnRenamed("digest", "digest2"))
+    marked = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("text"))
     if live.count() <= MAX_BROADCAST_DOCS:
         live = F.broadcast(live)
-    marked = marked.join(live, F.col("key").eqNullSafe(F.col("key2")), "left")
+    marked = marked.join(live, F.xxhash64("text") == F.col("digest2"), "left")
     marked = marked.withColumn("base", base_spans(F.col("text")))
     is_live = lambda s: F.array_contains(F.col("live"), s["hash"])
     added = F.when(F.col("live").isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(
