@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,8 +11,20 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in their order, as slices with ``limit`` bytes of text or a single row."""
+#: Where tasks keep what the next task of the same kind in this worker process can use again.
+WORKER_STATE = "flowlog-worker"
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, keep: bool = False
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in their order, as slices with ``limit`` bytes of text or a single row.
+
+    Unless a task asks to ``keep`` it, what other tasks left in this worker is dropped, so that stages do not add up.
+    """
+    if not keep:
+        sys.modules.pop(WORKER_STATE, None)
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         if not batch.num_rows:
             continue

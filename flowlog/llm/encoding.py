@@ -16,9 +16,11 @@ from types import ModuleType
 import numpy as np
 import pyarrow as pa
 
-KEPT = 600_000  # chunks whose ids a worker keeps
+from .batches import WORKER_STATE
+
+KEPT = 300_000  # chunks whose ids a worker keeps
 KEPT_BYTES = 48  # longer chunks are not kept
-BLOCK_BYTES = 4 << 20  # of a long text that are encoded at a time
+BLOCK_BYTES = 2 << 20  # of a long text that are encoded at a time
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
 # apostrophes may begin a pre-token of letters, and angles and bars belong to special tokens, so they are no marks
@@ -211,9 +213,9 @@ def worker_encoder(path: str, blanks: bool, lower: bool) -> TextEncoder:
     """The encoder that the tasks of this worker process share, with the chunks that it keeps.
 
     Task code comes to a worker by value, so that its module variables last for one task; the encoders hang on a module of
-    their own.
+    their own, until a task of another kind runs in the worker (see ``slices``).
     """
-    state = sys.modules.setdefault("flowlog-worker", ModuleType("flowlog-worker"))
+    state = sys.modules.setdefault(WORKER_STATE, ModuleType(WORKER_STATE))
     encoders = state.__dict__.setdefault("encoders", {})
     if (path, blanks, lower) not in encoders:
         encoders.clear()  # one at a time

@@ -31,7 +31,7 @@ PARTNERS = 16
 PARTS, HOT = 8, 4
 ROUNDS = 300
 BUCKET = 100_000
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
 def token_pieces(docs: DataFrame, key: str, text: str, window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, key: str, text: str, window: int = WINDOW, tok
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = worker_encoder(tokenizer_path(TOKENIZER, tokenizer), True, False), np.array([END_ID], "<u4").tobytes()
-        for batch in slices(batches, "text", _SLICE):
+        for batch in slices(batches, "text", _SLICE, keep=True):
             which, numbers = [], []
             for i, ids in enumerate(encoder.encode(texts(batch, "text"))):
                 raw = ids.astype("<u4").tobytes() + end

@@ -40,7 +40,7 @@ from .encoding import tokenizer_path, worker_encoder
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 1 << 14
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _MAGIC = b"TOKBITS1"
 _TAIL = "<QQQQQII8s"  # places of the three footer parts, documents, ids, bits, ids of a block, magic
 _NULL = 0xFFFFFFFF
@@ -220,7 +220,7 @@ def write_token_files(
         part = TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         writer = None
-        for batch in slices(batches, "text", _SLICE):
+        for batch in slices(batches, "text", _SLICE, keep=True):
             if writer is None:
                 bits = bits_for(max(encoder.vocabulary, end_id + 1))
                 writer = TokenFileWriter(f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.ids", bits)
