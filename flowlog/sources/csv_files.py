@@ -117,7 +117,8 @@ def _split_layouts(
     for row in sorted(headers, key=lambda row: row.header):
         names = tuple(next(csv.reader(row.header.splitlines(keepends=True))))
         mine = F.col("header") == row.header
-        tasks = min(row.n, max(_tasks(spark, row.n), -(-row.bytes // split_bytes)))
+        # small splits share a task, as small files do in Spark's own scans
+        tasks = min(row.n, max(_tasks(spark, row.n), -(-row.bytes // max(split_bytes, scan_bytes(spark)))))
         rows = _cells(cut_rows(_spread(splits.where(mine), tasks), opened), names, fail_fast)
         of_layout = known.where(mine).select("source_file", (F.col("rows") > 0).alias("filled"))
         layouts.append(Layout(names, rows, of_layout, True))

@@ -139,3 +139,13 @@ def test_split_size_of_the_session(spark):
             assert scan_bytes(spark) == size
     finally:
         spark.conf.set(setting, before)
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """Tasks follow the bytes, as in Spark's own scans, not the number of splits."""
+    path = tmp_path / "many.csv"
+    path.write_text("src,flag\n" + "".join(f'{i},"a\n{i}"\n' for i in range(5000)))
+    layout = read_log_csv(spark, str(path), split_bytes=100)[0]
+    rows = layout.rows.select("row_index", "c0", "c1")
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(tuple(r) for r in rows.collect()) == [(i, f"{i}", f"a\n{i}") for i in range(5000)]
