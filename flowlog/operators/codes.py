@@ -24,8 +24,10 @@ from .knn import PIVOT_SAMPLE, _asked, _matrix, _means, _type_of, _usable
 
 PARTS, CELLS, KNOWN = 16, 64, 256
 CANDIDATES = 20  # per neighbour asked for
-MAX_QUERIES = 4096
-_QUERY_STEP, _STEP = 256, 16_384
+MAX_QUERIES = 32_768
+_STEP = 16_384
+_CELLS = 1 << 20  # of a matrix of distances
+_FOUND = 1 << 18  # rows of a batch of candidates
 
 
 @dataclass(frozen=True)
@@ -85,16 +87,17 @@ def encode_vectors(vectors: DataFrame, model: CodeModel) -> DataFrame:
     return rows.mapInArrow(encode, schema)
 
 
-def _bounds(model: CodeModel, q: np.ndarray, share: float, most: int) -> np.ndarray:
+def _bounds(sample: np.ndarray, q: np.ndarray, share: float, most: int) -> np.ndarray:
     """How far a candidate may be, by codes: about twice as many as wanted are nearer in all vectors, judged by the sample."""
     wanted = int(2 * most * share) + 8
-    if wanted >= len(model.sample):
+    if wanted >= len(sample):
         return np.full(len(q), np.inf, np.float32)
-    squares = (model.sample**2).sum(axis=1)
+    squares = (sample**2).sum(axis=1)
     out = np.empty(len(q), np.float32)
-    for at in range(0, len(q), _QUERY_STEP):
-        part = slice(at, at + _QUERY_STEP)
-        out[part] = np.partition(squares - 2 * (q[part] @ model.sample.T), wanted, axis=1)[:, wanted]
+    step = max(1, _CELLS // len(sample))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        out[part] = np.partition(squares - 2 * (q[part] @ sample.T), wanted, axis=1)[:, wanted]
     return out
 
 
@@ -106,10 +109,10 @@ def knn_codes(coded: DataFrame, queries: DataFrame, model: CodeModel, k: int = S
     asked = _asked(queries).select("query_id", "embedding")
     # Queries are asked in hashed groups of about half the bound, so that none exceeds it by chance
     groups = -(-2 * asked.count() // MAX_QUERIES) if asked.count() > MAX_QUERIES else 1
-    found = None
+    found, stored = None, coded.count()
     for group in range(groups):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group)
-        near = _candidates(coded, some, model, k * candidates)
+        near = _candidates(coded, some, model, k * candidates, stored)
         found = near if found is None else found.unionByName(near)
     extra = [c for c in coded.columns if c not in ("id", "embedding", "cell", "code")]
     own = asked.select(F.col("query_id").alias("_q"), F.col("embedding").alias("_asked"))
@@ -122,41 +125,91 @@ def knn_codes(coded: DataFrame, queries: DataFrame, model: CodeModel, k: int = S
     return ranked.select("query_id", "rank", "id", "distance", similarity_pct(F.col("distance")).alias("similarity"), *extra)
 
 
-def _candidates(coded: DataFrame, asked: DataFrame, model: CodeModel, most: int) -> DataFrame:
+def _candidates(coded: DataFrame, asked: DataFrame, model: CodeModel, most: int, count: int | None = None) -> DataFrame:
     """``query_id, id``: the ``most`` vectors that are nearest to each query by their codes."""
     head = asked.toArrow()
     out = f"query_id {_type_of(asked, 'query_id')}, id {_type_of(coded, 'id')}, near float"
     if not head.num_rows:
         return coded.where(F.lit(False)).select(F.lit(None).cast(_type_of(asked, "query_id")).alias("query_id"), "id")
     names, q = head.column("query_id").combine_chunks(), _matrix(head.column("embedding")).astype(np.float32)
-    bounds = _bounds(model, q, min(1.0, len(model.sample) / max(1, coded.count())), most)
+    count = coded.count() if count is None else count
+    bounds = _bounds(model.sample, q, min(1.0, len(model.sample) / max(1, count)), most)
     sent = coded.sparkSession.sparkContext.broadcast((model, q, bounds))
     id_type = to_arrow_type(coded.schema["id"].dataType)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, q, bounds = sent.value
+        left = np.concatenate((q, np.ones((len(q), 1), np.float32)), axis=1)
+        limit = bounds.copy()  # of what this task has seen
+        kept, room = _Kept(most), max(_FOUND, 2 * most * len(q))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            vectors = model.decode(batch.column("cell").to_numpy(), code)
-            squares = (vectors**2).sum(axis=1)
-            rows, columns, near = [], [], []
-            for at in range(0, len(q), _QUERY_STEP):
-                gaps = squares - 2 * (q[at : at + _QUERY_STEP] @ vectors.T)
-                limit = bounds[at : at + _QUERY_STEP].copy()
-                if gaps.shape[1] > most:
-                    limit = np.minimum(limit, np.partition(gaps, most - 1, axis=1)[:, most - 1])
-                i, j = np.nonzero(gaps <= limit[:, None])
-                rows.append(i + at)
-                columns.append(j)
-                near.append(gaps[i, j])
-            rows, columns, near = (np.concatenate(x) for x in (rows, columns, near))
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(rows)), batch.column("id").take(pa.array(columns)).cast(id_type), pa.array(near.astype(np.float32))],
-                ["query_id", "id", "near"],
-            )
+            for at in range(0, batch.num_rows, _STEP):
+                some = batch.slice(at, _STEP)
+                code = np.frombuffer(b"".join(some.column("code").to_pylist()), np.uint8).reshape(some.num_rows, -1)
+                vectors = model.decode(some.column("cell").to_numpy(), code)
+                right = np.concatenate((-2 * vectors, (vectors**2).sum(axis=1)[:, None]), axis=1).T
+                first = kept.ids_from(some.column("id"))
+                step = max(1, _CELLS // len(vectors))
+                for lo in range(0, len(q), step):
+                    gaps = left[lo : lo + step] @ right
+                    bound = limit[lo : lo + step]
+                    near = np.flatnonzero(gaps <= bound[:, None])
+                    if len(near) > most * len(gaps) and gaps.shape[1] > most:
+                        bound = np.minimum(bound, np.partition(gaps, most - 1, axis=1)[:, most - 1])
+                        near = np.flatnonzero(gaps <= bound[:, None])
+                    i, j = np.divmod(near, gaps.shape[1])
+                    kept.add(i + lo, j + first, gaps.ravel()[near])
+                if kept.size > room:
+                    kept.reduce(limit)
+        kept.reduce(limit)
+        for rows, ids, near in kept.parts():
+            arrays = [names.take(pa.array(rows)), ids.cast(id_type), pa.array(near)]
+            yield pa.RecordBatch.from_arrays(arrays, ["query_id", "id", "near"])
 
     found = coded.select("id", "cell", "code").mapInArrow(scan, out)
     best = Window.partitionBy("query_id").orderBy("near", "id")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("query_id", "id")
+
+
+class _Kept:
+    """What a task has found: the ``most`` nearest of every query, and those as near as the last of them."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.ids = most, 0, []
+        self.seen, self.found = 0, []
+
+    def ids_from(self, ids: pa.Array) -> int:
+        """Note the ids of some vectors; the place of the first."""
+        self.ids.append(ids)
+        self.seen += len(ids)
+        return self.seen - len(ids)
+
+    def add(self, rows: np.ndarray, places: np.ndarray, near: np.ndarray) -> None:
+        if len(rows):
+            self.found.append((rows.astype(np.int32), places, near))
+            self.size += len(rows)
+
+    def reduce(self, limit: np.ndarray) -> None:
+        """Drop what cannot be among the nearest; lower ``limit`` to what is left."""
+        if not self.found:
+            return
+        rows, places, near = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((near, rows))
+        rows, places, near = rows[order], places[order], near[order]
+        start = np.searchsorted(rows, rows)
+        last = start + self.most - 1
+        full = (last < len(rows)) & (rows[np.minimum(last, len(rows) - 1)] == rows)
+        limit[rows[full]] = np.minimum(limit[rows[full]], near[last[full]])
+        stay = near <= limit[rows]
+        self.found = [(rows[stay], places[stay], near[stay])]
+        self.size = int(stay.sum())
+        # ids of dropped vectors are not kept
+        used, places = np.unique(self.found[0][1], return_inverse=True)
+        self.ids, self.seen = [pa.chunked_array(self.ids).take(pa.array(used)).combine_chunks()], len(used)
+        self.found = [(self.found[0][0], places, self.found[0][2])]
+
+    def parts(self) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        for rows, places, near in self.found:
+            for at in range(0, len(rows), _FOUND):
+                part = slice(at, at + _FOUND)
+                yield rows[part], self.ids[0].take(pa.array(places[part])), near[part]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowlog.operators import codes
 from flowlog.operators.codes import encode_vectors, fit_codes, knn_codes
 from flowlog.operators.knn import knn_search
+from flowlog.session import materialize
 from flowlog.sources.tables import read_table, replace_source
 
 
@@ -69,3 +71,25 @@ def test_edges(spark, vectors):
     assert knn_codes(coded.where("id < 0"), q, model).count() == 0
     with pytest.raises(ValueError):
         fit_codes(v.limit(0))
+
+
+def test_a_task_keeps_no_more_than_the_nearest(spark, vectors, monkeypatch):
+    v, q = vectors
+    model = fit_codes(v)
+    coded = materialize(encode_vectors(v.select("id", "embedding"), model).coalesce(1))
+    want = {tuple(r) for r in codes._candidates(coded, q, model, 7).collect()}
+    monkeypatch.setattr(codes, "_bounds", lambda sample, q, share, most: np.full(len(q), np.inf, np.float32))
+    monkeypatch.setattr(codes, "_STEP", 500)
+    monkeypatch.setattr(codes, "_FOUND", 1000)
+    tight = codes._candidates(coded, q, model, 7)
+    assert {tuple(r) for r in tight.collect()} == want and len(want) == 7 * 300
+    # what a task keeps between its batches: the nearest, and ids of these only
+    kept = codes._Kept(3)
+    limit = np.full(2, np.inf, np.float32)
+    for near in ([5, 1, 4, 2], [3, 0, 9, 9]):
+        first = kept.ids_from(pa.array([f"{x}" for x in near]))
+        kept.add(np.array([0, 0, 0, 1]), np.arange(4) + first, np.array(near, np.float32))
+        kept.reduce(limit)
+    (rows, ids, near), = kept.parts()
+    assert limit.tolist() == [3, np.inf]
+    assert sorted(zip(rows.tolist(), ids.to_pylist(), near.tolist())) == [(0, "0", 0), (0, "1", 1), (0, "3", 3), (1, "2", 2), (1, "9", 9)]
