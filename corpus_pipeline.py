@@ -22,7 +22,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 or more of their five-word shingles, the one with the least id."""
+    """One document of each group linked by 0.8 or more of their five-word shingles, the one with the least id.
+
+    Candidates come from SimHash and, where its bits differ too much, from MinHash; whole sets of shingles decide.
+    """
     return near_copies.drop_near_copies(docs)
 
 

@@ -1,10 +1,11 @@
 """Near copies by the true similarity of their word shingles.
 
-Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. A fingerprint of 64 bits
-cannot find those links: at 0.8 it differs in about ten bits, and blocks that allow so many are not selective. So candidates
-are found by MinHash: texts that share all ``ROWS`` values of one of ``BANDS`` bands. At a similarity of 0.8 a pair has none
-in common once in eight million pairs, above it less often still. Candidates are then compared by their whole sets of shingle
-hashes; only true links remain.
+Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are found as
+``simhash`` finds them: SimHash fingerprints of the sets, joined on pigeonhole blocks, that differ in few bits. Such
+fingerprints alone cannot find all links: at 0.8 they differ in about ten bits, and blocks that allow so many are not selective. So
+texts are candidates as well if MinHash says so: if they share all ``ROWS`` values of one of ``BANDS`` bands. At a similarity
+of 0.8 a pair has none in common once in eight million pairs, above it less often still. Candidates are then compared by their
+whole sets of shingle hashes; only true links remain.
 
 Equal sets are one before anything is joined. A connected part of many candidates is cut into chunks, and each pair of chunks
 is compared by itself; of each comparison only a spanning star of each linked part is kept.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .batches import slices, texts
 from .components import components
+from .simhash import fingerprint_links, majority
 from .words import U, finish
 
 SHINGLE_WORDS = 5
@@ -68,7 +70,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """``key, digest, print, size, bands`` of every row of ``rows`` (``key, digest, text``); equal sets have one print."""
+    """``key, digest, print, size, simhash, bands`` of every row of ``rows`` (``key, digest, text``); equal sets have one print."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -79,20 +81,33 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 batch.column("digest"),
                 pa.array(prints.view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "print", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "print", "size", "simhash", "bands"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(add, f"key {kind}, digest bigint, print bigint, size bigint, bands array<bigint>")
+    return rows.mapInArrow(add, f"key {kind}, digest bigint, print bigint, size bigint, simhash bigint, bands array<bigint>")
+
+
+def _close_fingerprints(sets: DataFrame) -> DataFrame:
+    """``hub, print``: links that connect the prints, but that of the empty set, whose SimHash chains of close pairs connect."""
+    full = sets.where("size > 0").select("print", "simhash")
+    hubs = full.groupBy("simhash").agg(F.min("print").alias("hub"))
+    a, b = (hubs.select(F.col("simhash").alias(f"simhash_{x}"), F.col("hub").alias(f"hub_{x}")) for x in "ab")
+    equal = full.join(a, F.col("simhash") == F.col("simhash_a")).where("print != hub_a").select("hub_a", "print")
+    near = fingerprint_links(hubs.select("simhash"))
+    near = near.join(a, F.col("a") == F.col("simhash_a")).join(b, F.col("b") == F.col("simhash_b"))
+    return equal.unionByName(near.select("hub_a", F.col("hub_b").alias("print"))).withColumnRenamed("hub_a", "hub")
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
-    """``print, group``: the connected parts, of two prints or more, of prints that share a band."""
+    """``print, group``: the connected parts, of two prints or more, of prints whose SimHash is close or that share a band."""
     rows = sets.select("print", F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("print").alias("hub"), F.count("*").alias("n")).where("n > 1")
     least = least.withColumnRenamed("band", "band2")
-    links = rows.join(least, F.col("band") == F.col("band2")).where("print != hub").select("hub", "print").distinct()
+    links = rows.join(least, F.col("band") == F.col("band2")).where("print != hub").select("hub", "print")
+    links = links.unionByName(_close_fingerprints(sets)).distinct()
     roots = materialize(components(links).select(F.col("node").alias("print"), F.col("root").alias("group")))
     return roots.unionByName(roots.select(F.col("group").alias("print"), "group").distinct())
 
@@ -182,7 +197,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     rows = docs.select(*own, own_text.alias("text"))
     least = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "digest")).alias("least")
     sets = materialize(
-        _sketches(rows).groupBy("print").agg(least, F.first("size").alias("size"), F.first("bands").alias("bands"))
+        _sketches(rows).groupBy("print").agg(least, *(F.first(c).alias(c) for c in ("size", "simhash", "bands")))
     )
     roots = components(_links(rows, sets))
     placed = sets.join(roots, F.col("print") == F.col("node"), "left")

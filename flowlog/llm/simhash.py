@@ -49,7 +49,11 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     last = max(0, len(tokens) - words)
     begin, end = starts[: last + 1].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, unsigned."""
     counts = np.zeros(_BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8), bitorder="little")

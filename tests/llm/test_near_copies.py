@@ -71,3 +71,13 @@ def test_awkward_rows(spark):
     assert got.columns == awkward(spark).columns
     assert {r.doc_id for r in got.collect()} == want and got.count() == len(want)
     assert near_copies.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_simhash_finds_candidates(spark):
+    """Fingerprints that differ in four bits or fewer are candidates without a common band; the empty set is none."""
+    rows = [(1, 9, 0b1111), (2, 9, 0b1111), (3, 9, 0), (4, 9, 2**40 - 1), (5, 9, 2**40 - 8), (6, 0, 0), (7, 9, 2**62 - 2**30)]
+    sets = spark.createDataFrame([(*r, []) for r in rows], "print long, size long, simhash long, bands array<bigint>")
+    groups: dict[int, set] = {}
+    for r in near_copies._candidates(sets).collect():
+        groups.setdefault(r.group, set()).add(r.print)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5]]
