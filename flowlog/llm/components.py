@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least.withColumnsRenamed({"u": "u2"}), F.col("u") == F.col("u2")).select("u", "v", "m")
+    """``u, v, m``: the edges and the least neighbour of each ``u``; they are shuffled once."""
+    return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+
+
+def _pair(u: str, v: str) -> Column:
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node goes to the node's least neighbour."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(F.array(_pair("u", "v"), _pair("v", "u"))))
     return (
         _min_neighbour(both)
         .where(F.col("v") > F.col("u"))
@@ -25,17 +29,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours go to the least of them."""
-    tied = _min_neighbour(edges)
-    moved = tied.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
+    moved = _min_neighbour(edges).select(F.inline(F.array(_pair("u", "m"), _pair("v", "m"))))
+    return moved.where("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for all nodes of ``edges`` (two columns of one orderable type) but the roots themselves.
 
     The root is the least node of the component. Rounds grow with the logarithm of the longest path; each one is
-    checkpointed. A node's neighbours are only ever aggregated or joined, never gathered, so that a node with very many
-    links is no bottleneck. Loops and repeated edges are harmless.
+    checkpointed. A node's neighbours are sorted into one window, which spills, never gathered in a row. Loops and repeated
+    edges are harmless.
     """
     a, b = edges.columns
     state = materialize(

@@ -22,7 +22,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -34,8 +34,8 @@ from .words import U, finish
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)  # as a fraction, so that it is compared exactly
 BANDS, ROWS = 40, 5
-CHUNK = 128
-CHUNK_SHINGLES = 1 << 18
+CHUNK = 512
+CHUNK_SHINGLES = 1 << 19
 SEED = 42
 _BLOCK = 1 << 10
 _RANDOM = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
@@ -70,44 +70,43 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """``key, digest, print, size, simhash, bands`` of every row of ``rows`` (``key, digest, text``); equal sets have one print."""
+    """``own, digest, print, size, simhash, bands`` of every row of ``rows`` (``own, digest, text``); equal sets have one print."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingles(value) for value in texts(batch, "text")]
             prints = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
             arrays = [
-                batch.column("key"),
+                batch.column("own"),
                 batch.column("digest"),
                 pa.array(prints.view(np.int64)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "digest", "print", "size", "simhash", "bands"])
+            yield pa.RecordBatch.from_arrays(arrays, ["own", "digest", "print", "size", "simhash", "bands"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(add, f"key {kind}, digest bigint, print bigint, size bigint, simhash bigint, bands array<bigint>")
+    kind = rows.schema["own"].dataType.simpleString()
+    return rows.mapInArrow(add, f"own {kind}, digest bigint, print bigint, size bigint, simhash bigint, bands array<bigint>")
 
 
 def _close_fingerprints(sets: DataFrame) -> DataFrame:
     """``hub, print``: links that connect the prints, but that of the empty set, whose SimHash chains of close pairs connect."""
     full = sets.where("size > 0").select("print", "simhash")
-    hubs = full.groupBy("simhash").agg(F.min("print").alias("hub"))
+    full = full.withColumn("hub", F.min("print").over(Window.partitionBy("simhash")))
+    equal, hubs = full.where("print != hub").select("hub", "print"), full.where("print = hub")
     a, b = (hubs.select(F.col("simhash").alias(f"simhash_{x}"), F.col("hub").alias(f"hub_{x}")) for x in "ab")
-    equal = full.join(a, F.col("simhash") == F.col("simhash_a")).where("print != hub_a").select("hub_a", "print")
     near = fingerprint_links(hubs.select("simhash"))
     near = near.join(a, F.col("a") == F.col("simhash_a")).join(b, F.col("b") == F.col("simhash_b"))
-    return equal.unionByName(near.select("hub_a", F.col("hub_b").alias("print"))).withColumnRenamed("hub_a", "hub")
+    return equal.unionByName(near.select(F.col("hub_a").alias("hub"), F.col("hub_b").alias("print")))
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
     """``print, group``: the connected parts, of two prints or more, of prints whose SimHash is close or that share a band."""
     rows = sets.select("print", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("print").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    least = least.withColumnRenamed("band", "band2")
-    links = rows.join(least, F.col("band") == F.col("band2")).where("print != hub").select("hub", "print")
-    links = links.unionByName(_close_fingerprints(sets)).distinct()
+    band = Window.partitionBy("band")
+    links = rows.select("print", F.min("print").over(band).alias("hub")).where("print != hub").select("hub", "print")
+    links = links.unionByName(_close_fingerprints(sets))
     roots = materialize(components(links).select(F.col("node").alias("print"), F.col("root").alias("group")))
     return roots.unionByName(roots.select(F.col("group").alias("print"), "group").distinct())
 
@@ -159,18 +158,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b``: links that connect exactly the prints that chains of similar candidates connect."""
     groups = _candidates(sets).withColumnRenamed("print", "print2")
-    members = materialize(
-        sets.join(groups, F.col("print") == F.col("print2")).select(
-            "print", "group", "size", F.col("least.key").alias("key2"), F.col("least.digest").alias("digest2")
-        )
-    )
-    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES))
-    sized = members.groupBy("group").agg(parts.alias("parts")).withColumnRenamed("group", "group2")
-    placed = members.join(sized, F.col("group") == F.col("group2")).select(
-        "print", "group", "key2", "digest2", "parts", F.pmod(F.xxhash64("print"), "parts").alias("c")
-    )
-    # one row of each print has its set
-    placed = rows.join(placed, _same("2")).drop("key", "digest", "key2", "digest2").dropDuplicates(["print"])
+    members = sets.join(groups, F.col("print") == F.col("print2"))
+    group = Window.partitionBy("group")
+    parts = F.greatest(F.ceil(F.count("*").over(group) / CHUNK), F.ceil(F.sum("size").over(group) / CHUNK_SHINGLES))
+    placed = members.select(
+        "print", "group", F.col("least.own").alias("own2"), F.col("least.digest").alias("digest2"), parts.alias("parts")
+    ).withColumn("c", F.pmod(F.xxhash64("print"), "parts"))
+    # one row of each print has its set; all its repetitions are in one partition
+    placed = _matched(rows, placed).drop("own2", "digest2")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -183,25 +178,27 @@ def _links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     chunks = chunks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or c != j")
     cells = chunks.select("group", F.least("c", "j").alias("x"), F.greatest("c", "j").alias("y"), "print", "hashes")
     cells = cells.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
-    return cells.mapInArrow(_compare, "a bigint, b bigint").distinct()
+    return cells.mapInArrow(_compare, "a bigint, b bigint")
 
 
-def _same(suffix: str) -> Column:
-    return (F.col("digest") == F.col(f"digest{suffix}")) & F.col("key").eqNullSafe(F.col(f"key{suffix}"))
+def _matched(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (``own, digest``) that are in ``chosen`` (``own2, digest2``), each once, by one shuffle of ``rows``."""
+    same = (F.col("own") == F.col("own2")) & (F.col("digest") == F.col("digest2"))
+    return rows.join(chosen, same).dropDuplicates(["own", "digest"])
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each linked part the one with the least key, once if it is repeated."""
     own_text = F.col(text).cast("string")
-    own = F.col(key).alias("key"), F.xxhash64(own_text).alias("digest")
+    # the key in a struct: never null itself, so that plain equality joins null keys too and repetitions need no other shuffle
+    own = F.struct(F.col(key).alias("key")).alias("own"), F.xxhash64(own_text).alias("digest")
     rows = docs.select(*own, own_text.alias("text"))
-    least = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "digest")).alias("least")
+    least = F.min(F.struct(F.col("own.key").isNull().alias("no_key"), "own", "digest")).alias("least")
     sets = materialize(
         _sketches(rows).groupBy("print").agg(least, *(F.first(c).alias(c) for c in ("size", "simhash", "bands")))
     )
     roots = components(_links(rows, sets))
     placed = sets.join(roots, F.col("print") == F.col("node"), "left")
     best = placed.groupBy(F.coalesce("root", "print").alias("part")).agg(F.min("least").alias("best"))
-    keep = best.select(F.col("best.key").alias("key2"), F.col("best.digest").alias("digest2"))
-    marked = docs.select(F.struct("*").alias("row"), *own)
-    return marked.join(keep, _same("2")).dropDuplicates(["digest", "key"]).select("row.*")
+    keep = best.select(F.col("best.own").alias("own2"), F.col("best.digest").alias("digest2"))
+    return _matched(docs.select(F.struct("*").alias("row"), *own), keep).select("row.*")

@@ -22,7 +22,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -108,8 +108,8 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int =
     masks = block_masks(blocks, max_bits)
     keys = F.array(*[F.xxhash64(F.lit(i), value.bitwiseAND(F.lit(m).cast("bigint"))) for i, m in enumerate(masks)])
     rows = prints.select(value.alias("print"), F.explode(keys).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = rows.join(sizes, "key")
+    # rows meet in one shuffle; a join with their counts would need two
+    shared = rows.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
     # a large key: chunk c meets chunk j in the cell (least, greatest)
     chunks = F.ceil(F.col("members") / CHUNK)
     shared = shared.select("key", "print", chunks.alias("chunks"), F.pmod(F.xxhash64("print"), chunks).alias("c"))

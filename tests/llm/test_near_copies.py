@@ -3,7 +3,8 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from flowlog.llm import near_copies
+from flowlog.llm import components as graph
+from flowlog.llm import near_copies, simhash
 
 from .data import SCHEMA, awkward, awkward_rows, empty
 
@@ -81,3 +82,28 @@ def test_simhash_finds_candidates(spark):
     for r in near_copies._candidates(sets).collect():
         groups.setdefault(r.group, set()).add(r.print)
     assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5]]
+
+
+def test_one_shuffle_of_whole_rows(spark, monkeypatch):
+    """Rows chosen by key and text are shuffled once, though repeated ones are dropped; the other shuffle is of what is chosen."""
+    monkeypatch.setattr(near_copies, "components", lambda links: spark.createDataFrame([], "node long, root long"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i % 7 or None, f"a b {i % 9}") for i in range(90)], "doc_id long, text string")
+        out = near_copies.drop_near_copies(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hashpartitioning(" in line and "digest#" in line for line in plan.splitlines()) == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(r.text for r in out.collect()) == [f"a b {i}" for i in range(9)]
+
+
+def test_candidates_are_shuffled_once(spark):
+    """Rows of blocks, and those of neighbours, meet their key's others without a second shuffle."""
+    prints = spark.createDataFrame([(i,) for i in range(40)], "print long")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")
+    for df, key in ((simhash.fingerprint_links(prints), "key"), (graph._large_star(edges), "u"), (graph._small_star(edges), "u")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sum(f"Exchange hashpartitioning({key}#" in line and ", v#" not in line for line in plan.splitlines()) == 1, plan
+    assert {r.root for r in graph.components(edges).collect()} == {0}
