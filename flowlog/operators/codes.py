@@ -13,18 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BinaryType, ShortType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, ShortType, StructField, StructType
 
 from ..functions import similarity_pct
 from ..schema import SEARCH_K
-from .knn import PIVOT_SAMPLE, _asked, _matrix, _means, _type_of, _usable
+from .knn import _TILE, PIVOT_SAMPLE, SCAN_SHARE, _asked, _at_most, _matrix, _means, _type_of, _usable
 
 PARTS, CELLS, KNOWN = 16, 64, 256
 CANDIDATES = 20  # per neighbour asked for
-MAX_QUERIES = 32_768
+MAX_QUERIES = 131_072
 _STEP = 16_384
 _CELLS = 1 << 20  # of a matrix of distances
 _FOUND = 1 << 18  # rows of a batch of candidates
@@ -53,9 +54,13 @@ class CodeModel:
 
 
 def _nearest_row(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-    squares = (of**2).sum(axis=1)
-    steps = [(squares - 2.0 * (rows[at : at + _STEP] @ of.T)).argmin(axis=1) for at in range(0, len(rows), _STEP)]
-    return np.concatenate(steps) if steps else np.zeros(0, np.int64)
+    squares, twice = (of**2).sum(axis=1), -2.0 * of.T
+    out = np.empty(len(rows), np.int64)
+    for at in range(0, len(rows), _TILE):
+        gaps = rows[at : at + _TILE] @ twice
+        gaps += squares
+        out[at : at + _TILE] = gaps.argmin(axis=1)
+    return out
 
 
 def fit_codes(vectors: DataFrame, parts: int = PARTS, cells: int = CELLS) -> CodeModel:
@@ -112,63 +117,100 @@ def knn_codes(coded: DataFrame, queries: DataFrame, model: CodeModel, k: int = S
     found, stored = None, coded.count()
     for group in range(groups):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group)
-        near = _candidates(coded, some, model, k * candidates, stored)
+        near = _with_distances(coded, some, _candidates(coded, some, model, k * candidates, stored))
         found = near if found is None else found.unionByName(near)
     extra = [c for c in coded.columns if c not in ("id", "embedding", "cell", "code")]
-    own = asked.select(F.col("query_id").alias("_q"), F.col("embedding").alias("_asked"))
-    pairs = found.join(own, F.col("query_id") == F.col("_q")).drop("_q")
-    pairs = coded.select("id", "embedding", *extra).join(pairs, "id")
-    gap = F.zip_with("embedding", "_asked", lambda a, b: a.cast("double") - b.cast("double"))
-    squares = F.aggregate(F.transform(gap, lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
     nearest = Window.partitionBy("query_id").orderBy("distance", "id")
-    ranked = pairs.withColumn("distance", squares).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "distance", similarity_pct(F.col("distance")).alias("similarity"), *extra)
 
 
+def _with_distances(coded: DataFrame, asked: DataFrame, near: DataFrame) -> DataFrame:
+    """``near`` pairs with their true distances and the further columns of ``coded``; queries do not travel with their pairs."""
+    head = asked.toArrow()
+    names, q = head.column("query_id").combine_chunks(), _matrix(head.column("embedding"))
+    sent = coded.sparkSession.sparkContext.broadcast((names, q))
+    pairs = coded.drop("cell", "code").join(near, "id")
+    kept = [f for f in pairs.schema.fields if f.name != "embedding"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                at = pc.index_in(batch.column("query_id"), value_set=names).to_numpy(zero_copy_only=False)
+                gap = _matrix(batch.column("embedding")) - q[at]
+                distance = pa.array(np.einsum("ij,ij->i", gap, gap))
+                yield batch.select([f.name for f in kept]).append_column("distance", distance)
+
+    return pairs.mapInArrow(measure, StructType([*kept, StructField("distance", DoubleType())]))
+
+
 def _candidates(coded: DataFrame, asked: DataFrame, model: CodeModel, most: int, count: int | None = None) -> DataFrame:
-    """``query_id, id``: the ``most`` vectors that are nearest to each query by their codes."""
+    """``query_id, id``: the ``most`` vectors that are nearest to each query by their codes.
+
+    One in ``SCAN_SHARE`` vectors is scanned first, if these are more than the model's sample: the more of all vectors give
+    the bounds, the fewer beyond ``most`` are found, written and sorted.
+    """
     head = asked.toArrow()
-    out = f"query_id {_type_of(asked, 'query_id')}, id {_type_of(coded, 'id')}, near float"
     if not head.num_rows:
         return coded.where(F.lit(False)).select(F.lit(None).cast(_type_of(asked, "query_id")).alias("query_id"), "id")
     names, q = head.column("query_id").combine_chunks(), _matrix(head.column("embedding")).astype(np.float32)
     count = coded.count() if count is None else count
     bounds = _bounds(model.sample, q, min(1.0, len(model.sample) / max(1, count)), most)
-    sent = coded.sparkSession.sparkContext.broadcast((model, q, bounds))
+    sent = coded.sparkSession.sparkContext.broadcast((model, q, names))
+    query_id, some = _type_of(asked, "query_id"), count // SCAN_SHARE
+    if some > len(model.sample):
+        wanted = 2 * most // SCAN_SHARE + 8
+        loose = _bounds(model.sample, q, len(model.sample) / some, wanted)
+        seen = _scan(coded.where(F.pmod(F.xxhash64("id"), F.lit(SCAN_SHARE)) == 0), sent, loose, wanted, query_id)
+        best = Window.partitionBy("q").orderBy("near")
+        last = seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= wanted).where(F.col("r") == wanted)
+        last = last.select("q", "near").toArrow()
+        at = last.column("q").to_numpy()
+        bounds[at] = np.minimum(bounds[at], last.column("near").to_numpy())
+    best = Window.partitionBy("query_id").orderBy("near", "id")
+    found = _scan(coded, sent, bounds, most, query_id).drop("q")
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("query_id", "id")
+
+
+def _scan(coded: DataFrame, asked, bounds: np.ndarray, most: int, query_id: str) -> DataFrame:  # noqa: ANN001
+    """``q, query_id, id, near``: what each task finds within the bounds of the queries; ``asked`` is broadcast."""
     id_type = to_arrow_type(coded.schema["id"].dataType)
+    reach = coded.sparkSession.sparkContext.broadcast(bounds)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, q, bounds = sent.value
+        model, q, names = asked.value
         left = np.concatenate((q, np.ones((len(q), 1), np.float32)), axis=1)
-        limit = bounds.copy()  # of what this task has seen
-        kept, room = _Kept(most), max(_FOUND, 2 * most * len(q))
+        limit = reach.value.copy()  # of what this task has seen
+        kept, room = _Kept(most), _FOUND
         for batch in batches:
             for at in range(0, batch.num_rows, _STEP):
                 some = batch.slice(at, _STEP)
                 code = np.frombuffer(b"".join(some.column("code").to_pylist()), np.uint8).reshape(some.num_rows, -1)
                 vectors = model.decode(some.column("cell").to_numpy(), code)
-                right = np.concatenate((-2 * vectors, (vectors**2).sum(axis=1)[:, None]), axis=1).T
+                right = np.concatenate((-2 * vectors, (vectors**2).sum(axis=1)[:, None]), axis=1)
                 first = kept.ids_from(some.column("id"))
-                step = max(1, _CELLS // len(vectors))
-                for lo in range(0, len(q), step):
-                    gaps = left[lo : lo + step] @ right
-                    bound = limit[lo : lo + step]
-                    near = np.flatnonzero(gaps <= bound[:, None])
-                    if len(near) > most * len(gaps) and gaps.shape[1] > most:
-                        bound = np.minimum(bound, np.partition(gaps, most - 1, axis=1)[:, most - 1])
-                        near = np.flatnonzero(gaps <= bound[:, None])
-                    i, j = np.divmod(near, gaps.shape[1])
-                    kept.add(i + lo, j + first, gaps.ravel()[near])
+                for start in range(0, len(right), _TILE):
+                    tile = right[start : start + _TILE].T
+                    step = max(1, _CELLS // tile.shape[1])
+                    out = np.empty((min(step, len(q)), tile.shape[1]), np.float32)
+                    for lo in range(0, len(q), step):
+                        gaps = np.matmul(left[lo : lo + step], tile, out=out[: len(q[lo : lo + step])])
+                        bound = limit[lo : lo + step]
+                        i, j = _at_most(gaps, bound)
+                        if len(i) > most * len(gaps) and gaps.shape[1] > most:
+                            i, j = _at_most(gaps, np.minimum(bound, np.partition(gaps, most - 1, axis=1)[:, most - 1]))
+                        kept.add(i + lo, j + start + first, gaps[i, j])
                 if kept.size > room:
                     kept.reduce(limit)
+                    room = max(_FOUND, 2 * kept.size)
         kept.reduce(limit)
         for rows, ids, near in kept.parts():
-            arrays = [names.take(pa.array(rows)), ids.cast(id_type), pa.array(near)]
-            yield pa.RecordBatch.from_arrays(arrays, ["query_id", "id", "near"])
+            arrays = [pa.array(rows), names.take(pa.array(rows)), ids.cast(id_type), pa.array(near)]
+            yield pa.RecordBatch.from_arrays(arrays, ["q", "query_id", "id", "near"])
 
-    found = coded.select("id", "cell", "code").mapInArrow(scan, out)
-    best = Window.partitionBy("query_id").orderBy("near", "id")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("query_id", "id")
+    out = f"q int, query_id {query_id}, id {_type_of(coded, 'id')}, near float"
+    return coded.select("id", "cell", "code").mapInArrow(scan, out)
 
 
 class _Kept:

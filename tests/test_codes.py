@@ -93,3 +93,23 @@ def test_a_task_keeps_no_more_than_the_nearest(spark, vectors, monkeypatch):
     (rows, ids, near), = kept.parts()
     assert limit.tolist() == [3, np.inf]
     assert sorted(zip(rows.tolist(), ids.to_pylist(), near.tolist())) == [(0, "0", 0), (0, "1", 1), (0, "3", 3), (1, "2", 2), (1, "9", 9)]
+
+
+def test_a_part_of_the_vectors_bounds_the_candidates(spark, vectors, monkeypatch):
+    """The model's small sample would let several times as many candidates through as are wanted."""
+    v, q = vectors
+    model = fit_codes(v.where("id < 200"))
+    coded = materialize(encode_vectors(v.select("id", "embedding"), model))
+    found, scan = [], codes._scan
+
+    def counted(*args):
+        out = scan(*args)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(codes, "_scan", counted)
+    got = {tuple(r) for r in codes._candidates(coded, q, model, 100).collect()}
+    assert len(found) == 2 and found[1] <= 4.5 * 100 * 300
+    monkeypatch.setattr(codes, "_bounds", lambda sample, q, share, most: np.full(len(q), np.inf, np.float32))
+    monkeypatch.setattr(codes, "SCAN_SHARE", 1 << 30)
+    assert {tuple(r) for r in codes._candidates(coded, q, model, 100).collect()} == got and len(got) == 100 * 300
